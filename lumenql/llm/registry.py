@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mix
 from .sharding import op3_shard
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_shard)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_shard, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
