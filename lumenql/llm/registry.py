@@ -5,6 +5,7 @@ from __future__ import annotations
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mix
 from .sharding import op3_shard
+from .suffix_dedup import op6_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_shard, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_shard, op6_suffix_dedup, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
