@@ -187,40 +187,38 @@ def main_node(root: Node) -> Node | None:
     """The subtree with the article.
 
     From the node with the largest density sum, the path to the body is followed; the smallest density on it is the
-    threshold of the page. Of the subtrees at or above the threshold, that with the largest density sum is taken, and
-    it is widened to an enclosing article or main element, or while its parent has much more text of no fewer words a
-    link.
+    threshold of the page. Of the subtrees at or above the threshold, that with the largest density sum is taken. Its
+    border is then set by the page's own marks: an article (or main) element around it, or inside it one with most of
+    its text; without such, it is widened while its parent adds text with few links.
     """
     order = densities(root)
     if not root.chars:
         return None
-    marked = [x for x in order if x.tag in ("article", "main") and x.chars - x.links > 0]
-    inside = order
-    if marked:
-        top = max(marked, key=lambda x: (x.chars - x.links, -order.index(x)))
-        inside = measure_under(top)
-        peers = [x for x in marked if x.tag == top.tag and x is not top]
-        if not any(p.chars * 2 > top.chars for p in peers):
-            return top
-    best = max(inside, key=lambda x: x.total)
+    best = max(order, key=lambda x: x.total)
     x, threshold = best, best.density
     while x is not None and x.tag not in ("body", "html", "#root"):
         threshold = min(threshold, x.density)
         x = x.up
-    above = [x for x in inside if x.density >= threshold]
-    best = max(above or [best], key=lambda x: x.total)
-    while best.up is not None and best.tag not in ("article", "main", "body") and (best.up.chars - best.up.links) >= 1.15 * (best.chars - best.links) and best.up.links <= 0.3 * best.up.chars or best.tag in INLINE and best.up is not None:
+    best = max((x for x in order if x.density >= threshold), key=lambda x: x.total, default=best)
+    for tag in ("article", "main"):
+        x = best
+        while x is not None and x.tag != tag:
+            x = x.up
+        if x is not None:
+            return x
+    for tag in ("article", "main"):
+        inside = [x for x in order if x.tag == tag and under(x, best)]
+        if inside and 2 * (x := max(inside, key=lambda x: x.chars - x.links)).chars > best.chars:
+            return x
+    while best.up is not None and best.tag != "body" and (best.tag in INLINE or best.up.chars - best.up.links >= 1.15 * (best.chars - best.links) and best.up.links <= 0.3 * best.up.chars):
         best = best.up
     return best
 
 
-def measure_under(top: Node) -> list[Node]:
-    order, todo = [], [top]
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [k for k in x.kids if isinstance(k, Node) and not k.skip]
-    return order
+def under(x: Node, top: Node) -> bool:
+    while x is not None and x is not top:
+        x = x.up
+    return x is top
 
 
 def blocks(top: Node) -> list[str]:
