@@ -260,8 +260,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     blocks = land(components(meetings).withColumnRenamed("node", "cls").withColumnRenamed("root", "block"), "blocks")
     ones = rows.where("n > 0").join(small(blocks), "cls").groupBy("cls", "block").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     ones = land(ones, "ones")
-    chunks = ones.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
-    ones = ones.join(small(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    ones = in_chunks(ones)
 
     def member_sets(batches):
         columns = {"cls": pa.int64(), "block": pa.int64(), "chunk": pa.int64(), "chunks": pa.int64(), "data": pa.binary()}
@@ -280,6 +279,20 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "cls", "block", "chunk", "chunks")
     members = land(texts.mapInArrow(member_sets, "cls bigint, block bigint, chunk bigint, chunks bigint, data binary"), "members")
 
+    roots = components(link_blocks(members, num, den))
+    return rows.join(small(roots), rows["cls"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+
+
+def in_chunks(ones: DataFrame) -> DataFrame:
+    """(cls, block, n) and others with chunk and chunks: blocks of more than a chunk's sets or shingles are split by hash."""
+    chunks = ones.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    return ones.join(small(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+
+
+def link_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span all links inside the blocks of landed members (cls, block, chunk, chunks, data)."""
+    spark = members.sparkSession
+
     def joined(tasks: DataFrame) -> DataFrame:
         """Links of tasks (block, i, j, side, cls, root, data); root is what cls is known to be joined to."""
 
@@ -317,8 +330,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     links = land(joined(first), "links")
     if members.where("chunks > 2").limit(1).count():
         links = _second_round(members, links, joined, num, den)
-    roots = components(links)
-    return rows.join(small(roots), rows["cls"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+    return links
 
 
 def _second_round(members: DataFrame, links: DataFrame, joined, num: int, den: int) -> DataFrame:

@@ -7,9 +7,10 @@ from .embedding_dups import op8_embedding_dups
 from .html_extract import op10_html_extract
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mix
+from .paragraph_dedup import op4_paragraph_dedup
 from .quality import op7_quality
 from .sharding import op3_shard
 from .suffix_dedup import op6_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_shard, op5_decontaminate, op6_suffix_dedup, op7_quality, op8_embedding_dups, op9_jaccard_join, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_shard, op4_paragraph_dedup, op5_decontaminate, op6_suffix_dedup, op7_quality, op8_embedding_dups, op9_jaccard_join, op10_html_extract)}
 ORACLES: dict[str, str] = {}
