@@ -47,7 +47,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray):
     same[: n - 1] = pair[1:] == pair[:-1]
     run = same[:n] & same[1 : n + 1]
     cut[1:] |= run[1:] & ~same[: n - 1]
-    cut[3:] |= ~same[2 : n - 1] & same[1 : n - 2] & same[: n - 3]
+    cut[4:] |= ~same[2 : n - 2] & same[1 : n - 3] & same[: n - 4]
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     cut[1:] |= lines[start[1:]] > lines[end[:-1]]
     cut[first[:-1][first[:-1] < n]] = True
@@ -72,7 +72,7 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
     of MinHash values, as many bands as the recall at the similarity NUM/DEN asks for, are joined: inside the connected
     blocks of collisions exact Jaccard is computed by link_blocks(), which loses no link there. Components of links are
     clusters; the first paragraph of a cluster by (doc_id, position) stays, all others are removals. Neighbouring
-    paragraphs of clusters with several members make a run, which counts from least_run words; lo and hi are its UTF-8
+    paragraphs of clusters with several members, at most one other between two, make a run, which counts from least_run words; lo and hi are its UTF-8
     bytes, cluster is that of its first paragraph, removed is how many of its words are removals. With across only
     clusters of several doc_ids count, not those of repeats inside one document.
 
@@ -153,7 +153,7 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
     empty = "cast(array() as array<struct<i:int,lo:int,hi:int,words:bigint,cluster:bigint,removed:bigint>>)"
     one = lambda v: F.struct(v["i"].alias("i"), v["lo"].alias("lo"), v["hi"].alias("hi"), v["words"].cast("bigint").alias("words"), v["cluster"].alias("cluster"), F.when(v["removed"], v["words"]).otherwise(0).cast("bigint").alias("removed"))
     grown = lambda u, v: F.struct(v["i"].alias("i"), u["lo"].alias("lo"), v["hi"].alias("hi"), (u["words"] + v["words"]).alias("words"), u["cluster"].alias("cluster"), (u["removed"] + F.when(v["removed"], v["words"]).otherwise(0)).alias("removed"))
-    joined = F.aggregate("hits", F.expr(empty), lambda s, v: F.when((F.size(s) > 0) & (F.element_at(s, -1)["i"] + 1 == v["i"]), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(grown(F.element_at(s, -1), v)))).otherwise(F.concat(s, F.array(one(v)))))
+    joined = F.aggregate("hits", F.expr(empty), lambda s, v: F.when((F.size(s) > 0) & (F.element_at(s, -1)["i"] + 2 >= v["i"]), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(grown(F.element_at(s, -1), v)))).otherwise(F.concat(s, F.array(one(v)))))
     return runs.select("doc_id", "mark", F.explode(joined).alias("r")).where(F.col("r.words") >= least_run).select("doc_id", "mark", "r.lo", "r.hi", "r.words", "r.cluster", "r.removed")
 
 
