@@ -29,7 +29,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
-    """(text, start, end, key, context hash) of the runs of windows of `least` bytes that have one anchor.
+    """(text, start, end, anchor, key, context hash) of the runs of windows of `least` bytes that have one anchor.
 
     A window's anchor is its substring of ANCHOR bytes with the least hash, the leftmost of equal ones, so equal
     windows have equal anchors wherever they stand. A run's context is all bytes of its windows.
@@ -37,7 +37,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
     size = np.diff(offsets)
     n = len(data)
     if n < least or not (size >= least).any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
     k = min(ANCHOR, least)
     sums = prefix(data)
     inverse = powers(n + 1)[1]
@@ -52,7 +52,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
     f = np.flatnonzero(first)
     last = np.append(f[1:], len(at)) - 1
     lo, hi = start[f], start[last] + least
-    return text[f], lo, hi, gram[at[f]], mix(spans(sums, lo, hi) + (hi - lo).astype(U))
+    return text[f], lo, hi, at[f], gram[at[f]], mix(spans(sums, lo, hi) + (hi - lo).astype(U))
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -155,35 +155,33 @@ def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
     with the same content have the same anchor (see anchors()), so they meet under its key. Runs whose whole context
     occurs twice are repeated as they are. For anchors with several contexts, one of each is taken to a task, which
     builds the transform of these contexts and expands intervals up to `least`. An anchor with more than MOST_CONTEXTS
-    contexts (a passage that very many texts share ends in as many) is compared by the hashes of all its windows
-    instead, which are counted where they are read before they are shuffled.
+    contexts (a passage that very many texts share ends in as many) is first split by _hot_ranges().
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
 
     def runs(batches):
-        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "key": pa.int64(), "context": pa.int64()}
+        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "key": pa.int64(), "context": pa.int64()}
 
         def rows():
             for x in batches:
                 for at, n, data, offsets in parts(x.column(1)):
-                    text, lo, hi, key, context = anchors(data, offsets, least)
+                    text, lo, hi, anchor, key, context = anchors(data, offsets, least)
                     base = offsets[:-1][text]
                     take = pa.array(text)
-                    yield {"doc_id": x.column(0).slice(at, n).take(take), "mark": x.column(2).slice(at, n).take(take), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "key": key.view(np.int64), "context": context.view(np.int64)}
+                    yield {"doc_id": x.column(0).slice(at, n).take(take), "mark": x.column(2).slice(at, n).take(take), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "at": (anchor - base).astype(np.int32), "key": key.view(np.int64), "context": context.view(np.int64)}
 
         return arrow_batches(rows(), columns)
 
-    run = land(docs.mapInArrow(runs, "doc_id bigint, mark bigint, lo int, hi int, key bigint, context bigint"), "runs")
-    contexts = land(run.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi")).alias("one")), "contexts")
+    run = land(docs.mapInArrow(runs, "doc_id bigint, mark bigint, lo int, hi int, at int, key bigint, context bigint"), "runs")
+    contexts = land(run.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi", "at")).alias("one")), "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     whole = run.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select(*ID, "lo", "hi")
     mixed = land(contexts.join(keys, "key").select("key", "m", "n", "one.*"), "mixed")
-    wanted = mixed.groupBy(*ID).agg(F.collect_list(F.struct("key", "m", "n", "lo", "hi")).alias("runs"))
+    wanted = mixed.groupBy(*ID).agg(F.collect_list(F.struct("key", "m", "n", "lo", "hi", "at")).alias("runs"))
     text = docs.join(wanted.withColumnsRenamed({x: f"__{x}" for x in ID}), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("mark") == F.col("__mark"))).select(*ID, "text", "runs")
     cut = text.select(*ID, F.encode(F.col("text"), "UTF-8").alias("bytes"), F.explode("runs").alias("r")).select(*ID, "r.*", F.substring("bytes", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("bytes"))
     cut = land(cut, "cut")
-    packed = cut.where(F.col("m") <= MOST_CONTEXTS)
 
     def expand(batches):
         columns = {"doc_id": pa.int64(), "mark": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
@@ -209,47 +207,65 @@ def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
         return arrow_batches(rows(), columns)
 
     ranges = "doc_id bigint, mark bigint, lo int, hi int"
-    dealt = packed.select("key", *ID, "n", "lo", "bytes").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    dealt = cut.where(F.col("m") <= MOST_CONTEXTS).select("key", *ID, "n", "lo", "bytes").repartition(partitions(spark), "key").sortWithinPartitions("key")
     expanded = dealt.mapInArrow(expand, ranges)
 
-    def windows(batches):
-        columns = {"key": pa.int64(), "window": pa.int64(), "n": pa.int64()}
-
-        def rows():
-            for x in batches:
-                found = np.zeros((0, 2), np.int64)
-                for key, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                    w = np.unique(_windows(data, least))
-                    found = np.concatenate([found, np.stack([np.full(len(w), key), w], 1)])
-                u, n = np.unique(found, axis=0, return_counts=True)
-                yield {"key": u[:, 0], "window": u[:, 1], "n": n}
-
-        return arrow_batches(rows(), columns)
-
-    hot = cut.where(F.col("m") > MOST_CONTEXTS)
+    hot = cut.where(F.col("m") > MOST_CONTEXTS).drop("m")
     if hot.limit(1).count():
-        twice = land(hot.select("key", "bytes").mapInArrow(windows, "key bigint, window bigint, n bigint").groupBy("key", "window").agg(F.sum("n").alias("n")).where("n > 1").select("key", "window"), "twice")
+        expanded = expanded.union(_hot_ranges(hot, least, lambda rows: rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(expand, ranges)))
+    return whole.union(expanded).distinct().groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
-        def located(batches):
-            columns = {"doc_id": pa.int64(), "mark": pa.int64(), "key": pa.int64(), "window": pa.int64(), "lo": pa.int32()}
 
-            def rows():
-                for x in batches:
-                    for d, m, key, lo, data in zip(*[c.to_pylist() for c in x.columns], strict=True):
-                        w = _windows(data, least)
-                        yield {"doc_id": [d] * len(w), "mark": [m] * len(w), "key": [key] * len(w), "window": w, "lo": np.arange(lo, lo + len(w), dtype=np.int32)}
+def _hot_ranges(hot: DataFrame, least: int, expand) -> DataFrame:
+    """Repeated ranges of contexts whose anchor has very many.
 
-            return arrow_batches(rows(), columns)
+    Windows are told by how many bytes they reach left of the anchor. All windows whose reach lies in a range have a core
+    in common with the anchor in it, and equal windows have equal cores. So contexts are grouped by the core's hash, for
+    ranges that are halved from step to step: a context alone in its group has no repeated window there, a group of at
+    most MOST_CONTEXTS goes to expand(), a larger one is halved again, down to groups of one window. A context takes part
+    in a few ranges a step, so rows grow in proportion to the contexts.
+    """
+    k = min(ANCHOR, least)
+    most = least - k
+    size = 1 << max(0, most.bit_length() - 1)
+    fields = "key bigint, doc_id bigint, mark bigint, n bigint, lo int, hi int, at int, bytes binary, low int, size int, grp bigint"
+    columns = {"key": pa.int64(), "doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "bytes": pa.binary(), "low": pa.int32(), "size": pa.int32(), "grp": pa.int64()}
+    names = list(columns)
 
-        at = hot.where("n = 1").select(*ID, "key", "lo", "bytes").mapInArrow(located, "doc_id bigint, mark bigint, key bigint, window bigint, lo int")
-        expanded = expanded.union(at.join(twice, ["key", "window"]).groupBy(*ID, "key").agg(F.array_sort(F.collect_list("lo")).alias("at")).select(*ID, F.explode(F.aggregate("at", F.expr("cast(array() as array<struct<lo:int,hi:int>>)"), lambda s, v: F.when((F.size(s) > 0) & (F.element_at(s, -1)["hi"] >= v), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["lo"].alias("lo"), (v + least).cast("int").alias("hi"))))).otherwise(F.concat(s, F.array(F.struct(v.alias("lo"), (v + least).cast("int").alias("hi"))))))).alias("r")).select(*ID, "r.lo", "r.hi"))
-    return whole.union(expanded).distinct().groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    def cores(batches):
+        def rows():
+            for x in batches:
+                out = []
+                for key, doc, mark, n, lo, hi, at, data, low, size in zip(*[c.to_pylist() for c in x.columns], strict=True):
+                    a, b = max(low, at - (hi - least)), min(low + size - 1, at - lo)
+                    if a > b:
+                        continue
+                    core = data[at - low - lo : at + k + max(0, most - low - size + 1) - lo]
+                    group = int.from_bytes(hashlib.blake2b(core + b"%d %d %d" % (key, low, size), digest_size=8).digest(), "little", signed=True)
+                    part = data[at - b - lo : at - a + least - lo]
+                    out.append((key, doc, mark, n, at - b, at - a + least, at, part, low, size, group))
+                yield {c: [r[i] for r in out] for i, c in enumerate(names)}
 
+        return arrow_batches(rows(), columns)
 
-def _windows(data: bytes, least: int) -> np.ndarray:
-    d = np.frombuffer(data, np.uint8)
-    at = np.arange(len(d) - least + 1)
-    return mix(spans(prefix(d), at, at + least)).view(np.int64)
+    found = []
+    front = hot.select("key", *ID, "n", "lo", "hi", "at", "bytes", F.explode(F.sequence(F.lit(0), F.lit(most), F.lit(size))).cast("int").alias("low"), F.lit(size).alias("size"))
+    while True:
+        front = land(front.mapInArrow(cores, fields), "cores")
+        groups = land(front.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+        both = front.join(groups, "grp")
+        if size == 1:
+            found.append(both.where("n = 1").select(*ID, "lo", "hi"))
+            break
+        found.append(expand(both.where(F.col("m") <= MOST_CONTEXTS).select(F.col("grp").alias("key"), *ID, "n", "lo", "bytes")))
+        if not groups.where(F.col("m") > MOST_CONTEXTS).limit(1).count():
+            break
+        size //= 2
+        front = both.where(F.col("m") > MOST_CONTEXTS).select("key", *ID, "n", "lo", "hi", "at", "bytes", F.explode(F.array(F.col("low"), (F.col("low") + size).cast("int"))).alias("low"), F.lit(size).alias("size"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
 
 
 def remove_repeats(docs: DataFrame, least: int = 200, with_text: bool = False) -> DataFrame:
