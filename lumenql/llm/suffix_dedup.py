@@ -13,7 +13,7 @@ from .common import arrow_batches, land, partitions
 from .textvec import U, mix, parts, powers, prefix, spans
 
 #: Bytes of the substrings whose least hash picks a window's anchor.
-ANCHOR = 48
+ANCHOR = 24
 #: Distinct contexts of one anchor that one task takes; more are compared window by window.
 MOST_CONTEXTS = 256
 
@@ -56,22 +56,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of codes by at least their first depth values, by prefix doubling."""
+    """Suffix order of codes by at least their first depth values, by prefix doubling over suffixes not told apart yet."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    width = 1
+    top = int(codes.max()) + 2
+    width = min(n, max(1, int(62 / np.log2(top))))
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key *= top
+        key[: n - k] += codes[k:] + 1
+    order = np.argsort(key)
+    rank = np.empty(n, np.int64)
+    slots, key = np.arange(n), key[order]
     while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - width] = rank[width:] if width < n else after[:0]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        width *= 2
-        if width >= depth or new.all():
+        # order[slots] is sorted by key: suffixes with equal keys get the first of their slots as rank
+        new = np.ones(len(slots), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        rank[order[slots]] = slots[first][np.cumsum(new) - 1]
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone]
+        if width >= depth or not len(slots):
             return order
+        at = order[slots]
+        after = at + width
+        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[slots] = at[by]
+        key = key[by]
+        width *= 2
 
 
 def repeated_starts(codes: np.ndarray, least: int) -> np.ndarray:
@@ -88,7 +100,7 @@ def repeated_starts(codes: np.ndarray, least: int) -> np.ndarray:
     order = suffix_order(codes, least)
     before = codes[order - 1]  # the transform; order - 1 is -1 for the first suffix, whose predecessor is the last code
     step = np.empty(n, np.int64)  # rank of the suffix one code longer
-    by = np.argsort(before, kind="stable")
+    by = np.argsort(before * n + np.arange(n))
     step[by] = np.arange(n)
     back = by  # rank of the suffix one code shorter, by rank
     start = min(16, least)
@@ -145,51 +157,51 @@ def merged(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + least) for x in np.split(starts, cut)]
 
 
-ID = ["doc_id", "mark"]
+def identified(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, text); rid, a hash of both, tells rows apart that share a doc_id."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
-    """(doc_id, mark, spans array<struct<lo, hi>>) of texts with bytes in strings of `least` bytes that start twice.
+    """(rid, spans array<struct<lo, hi>>) of rows of identified() with bytes in strings of `least` bytes that start twice.
 
-    mark is a hash of the text: a row is known by both, so rows that share a doc_id count each for itself. All windows
-    with the same content have the same anchor (see anchors()), so they meet under its key. Runs whose whole context
+    All windows with the same content have the same anchor (see anchors()), so they meet under its key. Runs whose whole context
     occurs twice are repeated as they are. For anchors with several contexts, one of each is taken to a task, which
     builds the transform of these contexts and expands intervals up to `least`. An anchor with more than MOST_CONTEXTS
     contexts (a passage that very many texts share ends in as many) is first split by _hot_ranges().
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
+    docs = docs.select(F.col("rid"), "text")
 
     def runs(batches):
-        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "key": pa.int64(), "context": pa.int64()}
+        columns = {"rid": pa.int64(), "span": pa.int64(), "key": pa.int64(), "context": pa.int64()}
 
         def rows():
             for x in batches:
                 for at, n, data, offsets in parts(x.column(1)):
                     text, lo, hi, anchor, key, context = anchors(data, offsets, least)
                     base = offsets[:-1][text]
-                    take = pa.array(text)
-                    yield {"doc_id": x.column(0).slice(at, n).take(take), "mark": x.column(2).slice(at, n).take(take), "lo": (lo - base).astype(np.int32), "hi": (hi - base).astype(np.int32), "at": (anchor - base).astype(np.int32), "key": key.view(np.int64), "context": context.view(np.int64)}
+                    span = ((lo - base) << 32) | ((hi - lo) << 16) | (anchor - lo)
+                    yield {"rid": x.column(0).slice(at, n).take(pa.array(text)), "span": span, "key": key.view(np.int64), "context": context.view(np.int64)}
 
         return arrow_batches(rows(), columns)
 
-    run = land(docs.mapInArrow(runs, "doc_id bigint, mark bigint, lo int, hi int, at int, key bigint, context bigint"), "runs")
-    contexts = land(run.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi", "at")).alias("one")), "contexts")
-    keys = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    whole = run.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select(*ID, "lo", "hi")
-    mixed = land(contexts.join(keys, "key").select("key", "m", "n", "one.*"), "mixed")
-    wanted = mixed.groupBy(*ID).agg(F.collect_list(F.struct("key", "m", "n", "lo", "hi", "at")).alias("runs"))
-    text = docs.join(wanted.withColumnsRenamed({x: f"__{x}" for x in ID}), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("mark") == F.col("__mark"))).select(*ID, "text", "runs")
-    cut = text.select(*ID, F.encode(F.col("text"), "UTF-8").alias("bytes"), F.explode("runs").alias("r")).select(*ID, "r.*", F.substring("bytes", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("bytes"))
-    cut = land(cut, "cut")
+    lo, hi, at = F.shiftright("span", 32).cast("int"), (F.shiftright("span", 32) + F.shiftright("span", 16).bitwiseAND(65535)).cast("int"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(65535)).cast("int")
+    run = land(docs.mapInArrow(runs, "rid bigint, span bigint, key bigint, context bigint"), "runs")
+    contexts = land(run.groupBy("key", "context").agg(F.count("*").alias("n"), F.first("rid").alias("rid"), F.first("span").alias("span")), "contexts")
+    keys = contexts.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
+    whole = run.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rid", lo.alias("lo"), hi.alias("hi"))
+    wanted = contexts.join(keys, "key").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("key", "m", "n", lo.alias("lo"), hi.alias("hi"), at.alias("at"))).alias("runs"))
+    text = docs.join(wanted, F.col("rid") == F.col("__rid")).select("rid", F.encode(F.col("text"), "UTF-8").alias("bytes"), F.explode("runs").alias("r"))
+    cut = land(text.select("rid", "r.*", F.substring("bytes", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("bytes")), "cut")
 
     def expand(batches):
-        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
+        columns = {"rid": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
 
         def done(held):
             out = []
-            for h, ranges in zip(held, repeated_windows([h[5] for h in held], least), strict=True):
-                out += [(h[1], h[2], h[4] + a, h[4] + b) for a, b in ranges] if h[3] == 1 else []
+            for h, ranges in zip(held, repeated_windows([h[4] for h in held], least), strict=True):
+                out += [(h[1], h[3] + a, h[3] + b) for a, b in ranges] if h[2] == 1 else []
             return {k: [r[i] for r in out] for i, k in enumerate(columns)}
 
         def rows():
@@ -200,20 +212,20 @@ def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
                         yield done(held)
                         held, size = [], 0
                     held.append(h)
-                    size += len(h[5])
+                    size += len(h[4])
             if held:
                 yield done(held)
 
         return arrow_batches(rows(), columns)
 
-    ranges = "doc_id bigint, mark bigint, lo int, hi int"
-    dealt = cut.where(F.col("m") <= MOST_CONTEXTS).select("key", *ID, "n", "lo", "bytes").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    ranges = "rid bigint, lo int, hi int"
+    dealt = cut.where(F.col("m") <= MOST_CONTEXTS).select("key", "rid", "n", "lo", "bytes").repartition(partitions(spark), "key").sortWithinPartitions("key")
     expanded = dealt.mapInArrow(expand, ranges)
 
     hot = cut.where(F.col("m") > MOST_CONTEXTS).drop("m")
     if hot.limit(1).count():
         expanded = expanded.union(_hot_ranges(hot, least, lambda rows: rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(expand, ranges)))
-    return whole.union(expanded).distinct().groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return whole.union(expanded).distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _hot_ranges(hot: DataFrame, least: int, expand) -> DataFrame:
@@ -228,40 +240,40 @@ def _hot_ranges(hot: DataFrame, least: int, expand) -> DataFrame:
     k = min(ANCHOR, least)
     most = least - k
     size = 1 << max(0, most.bit_length() - 1)
-    fields = "key bigint, doc_id bigint, mark bigint, n bigint, lo int, hi int, at int, bytes binary, low int, size int, grp bigint"
-    columns = {"key": pa.int64(), "doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "bytes": pa.binary(), "low": pa.int32(), "size": pa.int32(), "grp": pa.int64()}
+    fields = "key bigint, rid bigint, n bigint, lo int, hi int, at int, bytes binary, low int, size int, grp bigint"
+    columns = {"key": pa.int64(), "rid": pa.int64(), "n": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "bytes": pa.binary(), "low": pa.int32(), "size": pa.int32(), "grp": pa.int64()}
     names = list(columns)
 
     def cores(batches):
         def rows():
             for x in batches:
                 out = []
-                for key, doc, mark, n, lo, hi, at, data, low, size in zip(*[c.to_pylist() for c in x.columns], strict=True):
+                for key, rid, n, lo, hi, at, data, low, size in zip(*[c.to_pylist() for c in x.columns], strict=True):
                     a, b = max(low, at - (hi - least)), min(low + size - 1, at - lo)
                     if a > b:
                         continue
                     core = data[at - low - lo : at + k + max(0, most - low - size + 1) - lo]
                     group = int.from_bytes(hashlib.blake2b(core + b"%d %d %d" % (key, low, size), digest_size=8).digest(), "little", signed=True)
                     part = data[at - b - lo : at - a + least - lo]
-                    out.append((key, doc, mark, n, at - b, at - a + least, at, part, low, size, group))
+                    out.append((key, rid, n, at - b, at - a + least, at, part, low, size, group))
                 yield {c: [r[i] for r in out] for i, c in enumerate(names)}
 
         return arrow_batches(rows(), columns)
 
     found = []
-    front = hot.select("key", *ID, "n", "lo", "hi", "at", "bytes", F.explode(F.sequence(F.lit(0), F.lit(most), F.lit(size))).cast("int").alias("low"), F.lit(size).alias("size"))
+    front = hot.select("key", "rid", "n", "lo", "hi", "at", "bytes", F.explode(F.sequence(F.lit(0), F.lit(most), F.lit(size))).alias("low"), F.lit(size).alias("size"))
     while True:
         front = land(front.mapInArrow(cores, fields), "cores")
         groups = land(front.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1"), "groups")
         both = front.join(groups, "grp")
         if size == 1:
-            found.append(both.where("n = 1").select(*ID, "lo", "hi"))
+            found.append(both.where("n = 1").select("rid", "lo", "hi"))
             break
-        found.append(expand(both.where(F.col("m") <= MOST_CONTEXTS).select(F.col("grp").alias("key"), *ID, "n", "lo", "bytes")))
+        found.append(expand(both.where(F.col("m") <= MOST_CONTEXTS).select(F.col("grp").alias("key"), "rid", "n", "lo", "bytes")))
         if not groups.where(F.col("m") > MOST_CONTEXTS).limit(1).count():
             break
         size //= 2
-        front = both.where(F.col("m") > MOST_CONTEXTS).select("key", *ID, "n", "lo", "hi", "at", "bytes", F.explode(F.array(F.col("low"), (F.col("low") + size).cast("int"))).alias("low"), F.lit(size).alias("size"))
+        front = both.where(F.col("m") > MOST_CONTEXTS).select("key", "rid", "n", "lo", "hi", "at", "bytes", F.explode(F.array(F.col("low"), (F.col("low") + size).cast("int"))).alias("low"), F.lit(size).alias("size"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -275,9 +287,9 @@ def remove_repeats(docs: DataFrame, least: int = 200, with_text: bool = False) -
     go. Texts are UTF-8 bytes, null as empty (kept_sha256 of nothing, no span), and matches end with their text. Rows
     with one doc_id are each treated for themselves. Exact but for collisions of 64-bit hashes.
     """
-    found = land(repeated_ranges(docs, least), "repeats").withColumnsRenamed({x: f"__{x}" for x in ID})
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
-    d = d.join(found, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", "text", "spans")
+    d = identified(docs)
+    found = land(repeated_ranges(d, least), "repeats").withColumnRenamed("rid", "__rid")
+    d = d.join(found, F.col("rid") == F.col("__rid"), "left").select("doc_id", "text", "spans")
 
     def kept(batches):
         columns = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
