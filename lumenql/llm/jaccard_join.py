@@ -376,6 +376,26 @@ def named(classes: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """docs, all columns kept, with one row of each group that links reach: that of the least doc_id.
+
+    Rows without shingles all stay. Of rows with that doc_id in the group one stays (the least by all columns' hash).
+    """
+    d = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    found = land(jaccard_classes(d.select(F.col("__rid").alias("doc_id"), "text"), width, num, den), "classes")
+    names = found.where("root is not null").select(F.col("doc_id").alias("__key"), "root").distinct()
+    groups = d.select("__rid", F.col("doc_id").alias("__id")).join(names, F.col("__rid") == F.col("__key"))
+    order = F.struct(F.col("__id").isNull(), "__id", "__rid")
+    tops = groups.groupBy("root").agg(F.min(order)["__rid"].alias("__top"))
+    drop = land(groups.select("__rid", "root").distinct().join(small(land(tops, "tops")), "root").where("__rid <> __top").select(F.col("__rid").alias("__drop")).distinct(), "drop")
+    kept = d.join(small(drop), F.col("__rid") == F.col("__drop"), "left_anti")
+    again = kept.groupBy("__rid").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("__rid").alias("__twice")).join(names, F.col("__twice") == F.col("__key"), "left_semi")
+    again = small(land(again, "again"))
+    once = kept.join(again, F.col("__rid") == F.col("__twice"), "left_anti")
+    one = kept.join(again, F.col("__rid") == F.col("__twice"), "left_semi").dropDuplicates(["__rid"])
+    return once.union(one).drop("__rid")
+
+
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents, sets of 3-word shingles, links at Jaccard 0.9 or more."""
     return named(land(jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 9, 10), "classes"))

@@ -77,6 +77,14 @@ def sized(docs: DataFrame) -> DataFrame:
     return land(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sized")
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns kept, each row as often as the mix takes it (see mix_to_weights()); rows with no copy go."""
+    taken = mix_to_weights(sized(docs), **options).select(F.xxhash64("doc_id", "h").alias("__key"), "copies").groupBy("__key").agg(F.max("copies").alias("__copies"))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LEVELS * BITS)
+    d = docs.withColumn("__rid", F.xxhash64("doc_id", h)).join(small(land(taken.where("__copies > 0"), "taken")), F.col("__rid") == F.col("__key"))
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__rid", "__key", "__copies", "__copy")
+
+
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 5, 2, 1 to 150% of their words; taken counts repeats."""
     d = mix_to_weights(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, land
+from .common import arrow_batches, land, small
 from .textvec import LOWER, U, mix, parts, prefix, spans, window_hashes, words
 
 #: Most labelled rows that a model is fitted on, those with the least hash of doc_id.
@@ -127,8 +127,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(out[x], np.float64) for x in STATISTICS], 1)
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, *STATISTICS); null text counts as empty."""
+def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text) -> (doc_id, *STATISTICS), doc_id being the key; null text counts as empty."""
     columns = {"doc_id": pa.int64(), **{x: pa.float64() for x in STATISTICS}}
 
     def run(batches):
@@ -140,7 +140,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
         return arrow_batches(rows(), columns)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{x} double" for x in STATISTICS))
+    return docs.select(F.col(key).cast("bigint"), "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{x} double" for x in STATISTICS))
 
 
 @dataclass
@@ -268,25 +268,46 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str] = STATISTICS, seed: int =
     return Model(float(chosen[0]), [Rule(r.terms, float(w / s)) for r, w, s in zip(rules, chosen[1], spread, strict=True) if w])
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on at most `sample` labelled rows with a doc_id outside the held-out fold.
+def sampled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, __y) of at most `sample` labelled documents outside the held-out fold.
 
     Labels of one doc_id are averaged, null ones are left out. The sample, a documented bound on what the driver gets,
     is that of the least hashes of doc_id, so it is the same in each run.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("__y"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(F.broadcast(known), "doc_id").select("__y", *STATISTICS).toPandas().sort_values(["__y", *STATISTICS]).to_numpy()
-    rows = rows.reshape(-1, len(STATISTICS) + 1)
+    return known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def train_rows(known: DataFrame) -> Model:
+    """Fits a model on rows of (__y, *STATISTICS), as many as sampled() lets through."""
+    rows = known.select("__y", *STATISTICS).toPandas().sort_values(["__y", *STATISTICS]).to_numpy().reshape(-1, len(STATISTICS) + 1)
     return fit(rows[:, 1:], (rows[:, 0] >= 0.5).astype(np.float64))
 
 
+def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits a model on the sampled labels' statistics."""
+    return train_rows(stats.join(F.broadcast(sampled(labels, sample)), "doc_id"))
+
+
 def scored(stats: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted); rows without a doc_id count as held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     return stats.select("doc_id", held.alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns kept, without those that a model fitted on labels rejects (score below 0.3).
+
+    Rows are told by (doc_id, text), so rows that share a doc_id are each judged by their own text.
+    """
+    d = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    stats = land(with_statistics(d.select("doc_id", "text", "__rid"), "__rid"), "stats")
+    known = d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__rid").alias("__key")).join(F.broadcast(sampled(labels)), "doc_id")
+    model = train_rows(stats.join(small(known.select("__key", "__y")), F.col("doc_id") == F.col("__key")))
+    bad = stats.select(F.col("doc_id").alias("__bad"), model.score().alias("__score")).where("__score < 0.3").select("__bad").distinct()
+    return d.join(small(bad), F.col("__rid") == F.col("__bad"), "left_anti").drop("__rid")
+
+
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels outside the held-out fold."""
     stats = land(with_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "stats")
