@@ -289,8 +289,11 @@ def in_chunks(ones: DataFrame) -> DataFrame:
     return ones.join(small(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
 
 
-def link_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span all links inside the blocks of landed members (cls, block, chunk, chunks, data)."""
+def link_blocks(members: DataFrame, num: int, den: int, every: bool = True) -> DataFrame:
+    """Links (a, b) that span all links inside the blocks of landed members (cls, block, chunk, chunks, data).
+
+    Without every, chunks of one block are compared with themselves and with chunk 0 only.
+    """
     spark = members.sparkSession
 
     def joined(tasks: DataFrame) -> DataFrame:
@@ -328,7 +331,7 @@ def link_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     first = members.select("block", F.lit(0).alias("i"), F.explode(star).alias("j"), "chunk", "cls", F.lit(None).cast("bigint").alias("root"), "data")
     first = first.select("block", "i", "j", F.when(F.col("chunk") == F.col("j"), (F.col("j") > 0).cast("int")).otherwise(F.lit(0)).alias("side"), "cls", "root", "data")
     links = land(joined(first), "links")
-    if members.where("chunks > 2").limit(1).count():
+    if every and members.where("chunks > 2").limit(1).count():
         links = _second_round(members, links, joined, num, den)
     return links
 
