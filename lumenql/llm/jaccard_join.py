@@ -154,8 +154,10 @@ class Tree:
     def pairs(self, other: Tree, num: int, den: int):
         """Index pairs of sets that the bound can't part, by traversing both trees from their roots."""
         top = max(len(self.levels), len(other.levels)) - 1
-        i = j = np.zeros(1, np.int64)
+        i = j = np.zeros(1, np.int64)  # from here on pairs of nodes of one level
         for depth in range(top, -1, -1):
+            if not len(i):
+                break
             (m, lo, hi, s), (n, lo2, hi2, s2) = (t.levels[min(depth, len(t.levels) - 1)] for t in (self, other))
             keep = []
             for k in range(0, len(i), 65536):
