@@ -268,7 +268,7 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """
     keep = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
     d = pages.select(*keep, html_column)
-    schema = d.drop(html_column).schema.add("text", "string").add("n_chars", "bigint")
+    schema = d.drop(html_column).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
         for x in batches:
