@@ -14,8 +14,8 @@ from .textvec import U, mix, parts, powers, prefix, spans
 
 #: Bytes of the substrings whose least hash picks a window's anchor.
 ANCHOR = 24
-#: Distinct contexts of one anchor that one task takes; more are compared window by window.
-MOST_CONTEXTS = 256
+#: Distinct contexts of one anchor that one task takes (some 3 MB); more are split by _hot_ranges().
+MOST_CONTEXTS = 12_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
