@@ -32,6 +32,18 @@ def land(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a landed table that nothing will read again, and lets Spark drop shuffles that are done."""
+    import gc
+
+    jvm = df.sparkSession._jvm
+    for f in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, so that joins with it shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

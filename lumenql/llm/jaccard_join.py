@@ -7,15 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_batches, components, land, partitions, small
+from .common import Forest, arrow_batches, components, land, partitions, release, small
 from .textvec import LOWER, U, mix, parts, shingle_sets
 
 #: Spare groups: a set with at most so many empty groups need not emit these (see Bands).
 SPARE = 2
 #: Sets, and shingles, that a block's chunk holds on average; larger blocks are split.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 2_000_000
+#: Bitmaps that a task on a group's open pairs holds of one chunk; larger groups are split.
+GROUP_SETS = 4096
 #: Children of a tree node, and words of its bitmap.
-FANOUT, BITMAP = 8, 16
+FANOUT, BITMAP = 8, 32
 
 
 class Bands:
@@ -74,61 +76,87 @@ def set_class(tokens: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, hub) of each distinct key and the edges (hub, other node) within keys; the hub is the least node."""
+PACKED = {"part": pa.int32(), "keys": pa.binary(), "nodes": pa.binary()}
+#: Nodes that may share a key in one batch before they are put under a hub of the batch.
+LOCAL = 64
+
+
+def runs(key: np.ndarray, node: np.ndarray):
+    """(key, node) sorted and distinct, with the bounds of each key's run."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
-    hub = node[np.flatnonzero(first)]
-    each = hub[np.cumsum(first) - 1]
-    other = each != node
-    a, b = each[other], node[other]
-    if len(a):
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        a, b = pairs[:, 0], pairs[:, 1]
-    return key[first], hub, a, b
-
-
-PACKED = {"part": pa.int32(), "keys": pa.binary(), "nodes": pa.binary()}
+    return key, node, np.append(np.flatnonzero(first), len(key))
 
 
 def pack(key: np.ndarray, node: np.ndarray, count: int):
-    """Rows of PACKED: keys with one hub each, dealt to count parts; part -1 has the edges found on the way."""
-    key, hub, a, b = stars(key, node)
-    at = np.searchsorted(key, np.arange(1, count, dtype=object).astype(U) * U((1 << 64) // count + 1))
-    at = np.concatenate([[0], at, [len(key)]])
-    rows = [(p, key[at[p] : at[p + 1]].tobytes(), hub[at[p] : at[p + 1]].tobytes()) for p in range(count) if at[p] < at[p + 1]]
-    if len(a):
-        rows.append((-1, a.tobytes(), b.tobytes()))
+    """Rows of PACKED: (key, node) pairs dealt to count parts by key.
+
+    A key that more than LOCAL nodes of the batch have sends one node, the hub, marked by a part beyond count; part -1 has
+    the (hub, node) memberships of such keys. So what is shuffled of a hot key is a few pairs a batch.
+    """
+    key, node, at = runs(key, node)
+    size = np.diff(at)
+    hot = np.repeat(size > LOCAL, size)
+    hub = np.repeat(node[at[:-1]], size) if len(node) else node
+    rows = []
+    for base, k, n in ((0, key[~hot], node[~hot]), (count, key[at[:-1]][size > LOCAL], node[at[:-1]][size > LOCAL])):
+        cut = np.searchsorted(k, np.arange(1, count, dtype=object).astype(U) * U((1 << 64) // count + 1))
+        cut = np.concatenate([[0], cut, [len(k)]])
+        rows += [(base + p, k[cut[p] : cut[p + 1]].tobytes(), n[cut[p] : cut[p + 1]].tobytes()) for p in range(count) if cut[p] < cut[p + 1]]
+    if hot.any():
+        pairs = np.unique(np.stack([hub[hot], node[hot]], 1), axis=0)
+        rows.append((-1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
     if rows:
         yield {k: [r[i] for r in rows] for i, k in enumerate(PACKED)}
 
 
-def meet(packed: DataFrame) -> DataFrame:
-    """Edges (a, b) that keep together all nodes with a key in common, from rows of pack().
-
-    Nodes of a hot key are joined to a hub where they are read, so what is shuffled of it is one hub a batch.
-    """
+def meet(packed: DataFrame, count: int) -> DataFrame:
+    """Groups (grp, node) such that any two nodes with a key in common are in one group; grp is the least node of a key."""
 
     def ends(batches):
         for x in batches:
             a, b = (b"".join(v.as_py() for v in x.column(i)) for i in (1, 2))
-            yield {"a": np.frombuffer(a, np.int64), "b": np.frombuffer(b, np.int64)}
+            yield {"grp": np.frombuffer(a, np.int64), "node": np.frombuffer(b, np.int64), "merge": [False] * (len(a) // 8)}
 
     def group(table: pa.Table) -> pa.Table:
-        keys, nodes = (np.frombuffer(b"".join(v.as_py() for v in table.column(i)), t) for i, t in ((1, U), (2, np.int64)))
-        _, _, a, b = stars(keys, nodes)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    edge = {"a": pa.int64(), "b": pa.int64()}
-    near = packed.where("part < 0").mapInArrow(lambda x: arrow_batches(ends(x), edge), "a bigint, b bigint")
-    return near.union(packed.where("part >= 0").groupBy("part").applyInArrow(group, "a bigint, b bigint")).distinct()
+        part = table.column("part").to_numpy()
+        keys, nodes, marks = [], [], []
+        for p, k, n in zip(part, table.column("keys").to_pylist(), table.column("nodes").to_pylist(), strict=True):
+            keys.append(np.frombuffer(k, U))
+            nodes.append(np.frombuffer(n, np.int64))
+            marks.append(np.full(len(k) // 8, p >= count))
+        keys, nodes, marks = np.concatenate(keys), np.concatenate(nodes), np.concatenate(marks)
+        hubs = np.unique(np.stack([keys[marks].view(np.int64), nodes[marks]], 1), axis=0) if marks.any() else np.zeros((0, 2), np.int64)
+        key, node, at = runs(keys, nodes)
+        size = np.diff(at)
+        top = np.repeat(node[at[:-1]], size)
+        many = np.repeat(size > 1, size)
+        pairs = np.unique(np.stack([top[many], node[many]], 1), axis=0)
+        # hubs of batches for one key bring their groups together
+        of = np.searchsorted(key[at[:-1]], hubs[:, 0].view(U)) if len(hubs) else np.zeros(0, np.int64)
+        merges = np.unique(np.stack([node[at[:-1]][of], hubs[:, 1]], 1), axis=0) if len(hubs) else hubs
+        return pa.table({"grp": pa.array(np.concatenate([pairs[:, 0], merges[:, 0]]), pa.int64()), "node": pa.array(np.concatenate([pairs[:, 1], merges[:, 1]]), pa.int64()), "merge": pa.array(np.arange(len(pairs) + len(merges)) >= len(pairs), pa.bool_())})
+
+    fields = {"grp": pa.int64(), "node": pa.int64(), "merge": pa.bool_()}
+    near = packed.where("part < 0").mapInArrow(lambda x: arrow_batches(ends(x), fields), "grp bigint, node bigint, merge boolean")
+    far = packed.where("part >= 0").groupBy(F.col("part") % count).applyInArrow(lambda t: group(t), "grp bigint, node bigint, merge boolean")
+    found = land(near.union(far).distinct(), "groups")
+    groups = found.where("not merge").select("grp", "node")
+    if found.where("merge and grp <> node").limit(1).count():
+        roots = components(found.where("merge").select(F.col("grp").alias("a"), F.col("node").alias("b")))
+        groups = groups.union(groups.select("grp", F.col("grp").alias("node")).distinct()).alias("g").join(small(roots).alias("r"), F.col("g.grp") == F.col("r.node"), "left").select(F.coalesce("r.root", "g.grp").alias("grp"), "g.node").distinct()
+        groups = land(groups, "groups")
+    return groups
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     out = np.zeros(BITMAP * 64, np.uint8)
-    out[(tokens >> U(54)).astype(np.int64) % (BITMAP * 64)] = 1
+    out[(tokens % U(BITMAP * 64)).astype(np.int64)] = 1
     return np.packbits(out).view(U)
 
 
@@ -139,17 +167,15 @@ class Tree:
     with a bit of their own and the smaller surplus; for nodes, with ORs and largest surpluses, this bounds all pairs.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(x) for x in sets])
-        maps = np.stack([bitmap(x) for x in sets])
+    def __init__(self, maps: np.ndarray, size: np.ndarray, root: np.ndarray):
+        """root: what each set is known to be joined to; pairs of nodes with one and the same are left out."""
         surplus = size - np.bitwise_count(maps).sum(1).astype(np.int64)
         order = np.lexsort((maps[:, 0], size))
-        level = (maps[order], size[order], size[order], surplus[order])
-        self.items, self.levels = order, [level]
+        self.items, self.levels = order, [(maps[order], size[order], size[order], surplus[order], root[order], root[order])]
         while len(self.levels[-1][1]) > 1:
-            m, lo, hi, s = self.levels[-1]
+            m, lo, hi, s, a, b = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at)))
+            self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)))
 
     def pairs(self, other: Tree, num: int, den: int):
         """Index pairs of sets that the bound can't part, by traversing both trees from their roots."""
@@ -158,13 +184,14 @@ class Tree:
         for depth in range(top, -1, -1):
             if not len(i):
                 break
-            (m, lo, hi, s), (n, lo2, hi2, s2) = (t.levels[min(depth, len(t.levels) - 1)] for t in (self, other))
+            (m, lo, hi, s, ra, rb), (n, lo2, hi2, s2, ra2, rb2) = (t.levels[min(depth, len(t.levels) - 1)] for t in (self, other))
             keep = []
             for k in range(0, len(i), 65536):
                 a, b = i[k : k + 65536], j[k : k + 65536]
                 most = np.bitwise_count(m[a] & n[b]).sum(1, dtype=np.int64) + np.minimum(s[a], s2[b])
                 most = np.minimum(most, np.minimum(hi[a], hi2[b]))
-                keep.append((most * (num + den) >= num * (lo[a] + lo2[b])) & (hi[a] * den >= num * lo2[b]) & (hi2[b] * den >= num * lo[a]))
+                one = (ra[a] == rb[a]) & (ra2[b] == rb2[b]) & (ra[a] == ra2[b])
+                keep.append(~one & (most * (num + den) >= num * (lo[a] + lo2[b])) & (hi[a] * den >= num * lo2[b]) & (hi2[b] * den >= num * lo[a]))
             keep = np.concatenate(keep)
             i, j = i[keep], j[keep]
             if depth:
@@ -191,7 +218,7 @@ def tree_edges(node: list[int], side: list[int], data: list[bytes], num: int, de
     """Links that join what the forest has not joined yet: inside side 1 (side 0 alone if there is no side 1) and between sides."""
     sets = [np.frombuffer(x, U) for x in data]
     groups = [[k for k, s in enumerate(side) if s == v] for v in (0, 1)]
-    trees = [Tree([sets[k] for k in g]) if g else None for g in groups]
+    trees = [Tree(np.stack([bitmap(sets[k]) for k in g]), np.array([len(sets[k]) for k in g]), np.array([forest.root(node[k]) for k in g])) if g else None for g in groups]
     edges = []
     for p, q in ([(0, 0)] if not groups[1] else [(1, 1), (0, 1)] if groups[0] else [(1, 1)]):
         for a, b in zip(*trees[p].pairs(trees[q], num, den), strict=True):
@@ -212,10 +239,11 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     link with nothing (root null). Rows with one doc_id are separate rows of the result. Exact but for 64-bit
     collisions of hashes.
 
-    Sets that could be similar meet by Bands; the connected blocks of these meetings are joined by signature trees.
-    Blocks with more than a chunk's sets are cut into chunks: first each chunk with itself and with chunk 0, then, of the
-    other pairs, those whose nodes are not in one component already and whose bound allows a link. So a block of a third
-    of all rows that are copies of each other takes work in proportion to its rows.
+    Sets that could be similar meet in groups by Bands. First each set goes with the least hub of its groups that bitmaps
+    allow a link to, and the sets of a hub are joined by signature trees. That makes components of copies of one text in
+    work proportional to their number, even if these are a third of all rows. Then, in groups that still hold several
+    components, trees of bitmaps alone find the sets in pairs across components that the bound allows, and only these
+    are joined with their sets.
     """
     spark = docs.sparkSession
     bands, count = Bands(num, den), partitions(spark) * 4
@@ -227,14 +255,14 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
                 yield ids.slice(at, n), list(shingle_sets(LOWER[data], offsets, width))
 
     def signed(batches):
-        """The table of sets, and packed keys under doc_id null, part set."""
-        columns = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), **PACKED}
+        """The table of sets with their bitmaps, and packed keys under doc_id null, part set."""
+        columns = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "map": pa.binary(), **PACKED}
         keys, nodes, held = [], [], 0
 
         def flush():
             for x in pack(np.concatenate(keys), np.concatenate(nodes), count):
                 none = [None] * len(x["part"])
-                yield {"doc_id": none, "n": none, "cls": none, **x}
+                yield {"doc_id": none, "n": none, "cls": none, "map": none, **x}
             keys.clear()
             nodes.clear()
 
@@ -242,7 +270,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
             nonlocal held
             for ids, found in sets(batches):
                 cls = [set_class(s) for s in found]
-                yield {"doc_id": ids.to_pylist(), "n": [len(s) for s in found], "cls": cls, **{k: [None] * len(found) for k in PACKED}}
+                yield {"doc_id": ids.to_pylist(), "n": [len(s) for s in found], "cls": cls, "map": [bitmap(s).tobytes() for s in found], **{k: [None] * len(found) for k in PACKED}}
                 for c, s in {c: s for c, s in zip(cls, found, strict=True) if len(s)}.items():
                     k = bands.keys(s)
                     keys.append(k)
@@ -256,33 +284,104 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
 
         return arrow_batches(rows(), columns)
 
-    base = land(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(signed, "doc_id bigint, n bigint, cls bigint, part int, keys binary, nodes binary"), "sets")
-    rows = base.where("part is null").select("doc_id", "n", "cls")
-    meetings = land(meet(base.where("part is not null").select(*PACKED)), "meet")
-    blocks = land(components(meetings).withColumnRenamed("node", "cls").withColumnRenamed("root", "block"), "blocks")
-    ones = rows.where("n > 0").join(small(blocks), "cls").groupBy("cls", "block").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    ones = land(ones, "ones")
-    ones = in_chunks(ones)
+    base = land(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(signed, "doc_id bigint, n bigint, cls bigint, map binary, part int, keys binary, nodes binary"), "sets")
+    groups = meet(base.where("part is not null").select(*PACKED), count)
+    every = base.where("part is null")
+    rows = land(every.select("doc_id", "n", "cls"), "rows")
+    nodes = small(land(groups.select(F.col("node").alias("cls")).distinct(), "nodes"))
+    ones = land(every.where("n > 0").join(nodes, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("map").alias("map")), "ones")
+    release(base)
+    # first each set with the least group whose hub it can be linked to
+    hub = ones.select(F.col("cls").alias("grp"), F.col("map").alias("hub_map"), F.col("n").alias("hub_n"))
+    near = groups.join(ones.select(F.col("cls").alias("node"), "map", "n"), "node").join(hub, "grp").where("node <> grp")
+    near = near.select("grp", "node", "n", "map", "hub_n", "hub_map").mapInArrow(lambda x: could_link(x, num, den), "grp bigint, node bigint").groupBy("node").agg(F.min("grp").alias("block"))
+    near = land(near, "near")
+    near = near.select(F.col("node").alias("cls"), "block").union(near.select("block", "block").distinct())
+    links = link_blocks(members_of(docs, near, ones, width), num, den, every=False)
+    # then what the groups hold beyond the components found
+    roots = components(links)
+    known = groups.join(small(roots).select("node", "root"), "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+    open_ = known.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    open_ = open_.select("grp", F.ceil(F.col("m") / GROUP_SETS).alias("chunks"))
+    left = known.join(open_, "grp").join(ones.select(F.col("cls").alias("node"), "map", "n"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    tasks = left.select("grp", "node", "root", "n", "map", "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
+    tasks = tasks.select("grp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "root", "n", "map")
+    more = tasks.repartition(partitions(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(lambda x: open_pairs(x, num, den), "grp bigint, node bigint").distinct()
+    more = land(more.select(F.col("node").alias("cls"), F.col("grp").alias("block")), "more")
+    if more.limit(1).count():
+        links = links.union(link_blocks(members_of(docs, more, ones, width), num, den))
+        roots = components(links)
+    return rows.join(small(roots), rows["cls"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+
 
-    def member_sets(batches):
-        columns = {"cls": pa.int64(), "block": pa.int64(), "chunk": pa.int64(), "chunks": pa.int64(), "data": pa.binary()}
+def members_of(docs: DataFrame, blocks: DataFrame, ones: DataFrame, width: int) -> DataFrame:
+    """blocks (cls, block) with their sets, as link_blocks() takes them; texts are read again for the classes asked for."""
+    want = in_chunks(blocks.join(ones.select("cls", "doc_id", "n"), "cls"))
+    wanted = want.groupBy(F.col("doc_id").alias("__id"), "cls").agg(F.collect_list(F.struct("block", "chunk", "chunks")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(small(land(wanted, "wanted")), F.col("doc_id") == F.col("__id")).select("cls", "text", "places")
 
+    def sets(batches):
         def rows():
             for x in batches:
-                want = x.column(2).to_pylist()
+                want = x.column(0).to_pylist()
                 for at, n, data, offsets in parts(x.column(1)):
                     found = list(shingle_sets(LOWER[data], offsets, width))
                     ok = [k for k in range(n) if set_class(found[k]) == want[at + k]]
-                    yield {"cls": [want[at + k] for k in ok], "data": [found[k].tobytes() for k in ok], **{c: [x.column(i)[at + k].as_py() for k in ok] for c, i in (("block", 3), ("chunk", 4), ("chunks", 5))}}
+                    places = [x.column(2)[at + k].as_py() for k in ok]
+                    yield {"cls": [want[at + k] for k in ok], "data": [found[k].tobytes() for k in ok], "places": places}
 
-        return arrow_batches(rows(), columns)
+        for r in rows():
+            kind = pa.list_(pa.struct([("block", pa.int64()), ("chunk", pa.int64()), ("chunks", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(r["cls"], pa.int64()), pa.array(r["data"], pa.binary()), pa.array(r["places"], kind)], names=["cls", "data", "places"])
 
-    wanted = small(ones.select(F.col("doc_id").alias("__id"), "cls", "block", "chunk", "chunks"))
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "cls", "block", "chunk", "chunks")
-    members = land(texts.mapInArrow(member_sets, "cls bigint, block bigint, chunk bigint, chunks bigint, data binary"), "members")
+    got = land(texts.mapInArrow(sets, "cls bigint, data binary, places array<struct<block:bigint,chunk:bigint,chunks:bigint>>"), "members")
+    return got.select("cls", "data", F.explode("places").alias("p")).select("cls", "p.block", "p.chunk", "p.chunks", "data")
 
-    roots = components(link_blocks(members, num, den))
-    return rows.join(small(roots), rows["cls"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
+
+def could_link(batches, num: int, den: int):
+    """(grp, node) of rows (grp, node, n, map, hub_n, hub_map) whose bitmaps and sizes do not rule a link out."""
+
+    def rows():
+        for x in batches:
+            m, h = (np.frombuffer(b"".join(x.column(i).to_pylist()), U).reshape(-1, BITMAP) for i in (3, 5))
+            n, k = x.column(2).to_numpy(), x.column(4).to_numpy()
+            surplus = np.minimum(n - np.bitwise_count(m).sum(1).astype(np.int64), k - np.bitwise_count(h).sum(1).astype(np.int64))
+            most = np.minimum(np.bitwise_count(m & h).sum(1).astype(np.int64) + surplus, np.minimum(n, k))
+            ok = most * (num + den) >= num * (n + k)
+            yield {"grp": x.column(0).to_numpy()[ok], "node": x.column(1).to_numpy()[ok]}
+
+    return arrow_batches(rows(), {"grp": pa.int64(), "node": pa.int64()})
+
+
+def open_pairs(batches, num: int, den: int):
+    """(grp, node) of all sets of tasks (grp, i, j, side, node, root, n, map) in a pair that trees of bitmaps can't part."""
+
+    def done(held):
+        side = np.array([h[3] for h in held])
+        trees, nodes = [], []
+        for v in (0, 1):
+            own = [h for h, s in zip(held, side, strict=True) if s == v]
+            nodes.append(np.array([h[4] for h in own], np.int64))
+            trees.append(Tree(np.stack([np.frombuffer(h[7], U) for h in own]), np.array([h[6] for h in own]), np.array([h[5] for h in own])) if own else None)
+        both = (0, 0) if held[0][1] == held[0][2] else (0, 1)
+        if trees[both[0]] is None or trees[both[1]] is None:
+            return {"grp": [], "node": []}
+        a, b = trees[both[0]].pairs(trees[both[1]], num, den)
+        found = np.unique(np.concatenate([nodes[both[0]][a], nodes[both[1]][b]]))
+        return {"grp": [held[0][0]] * len(found), "node": found}
+
+    def rows():
+        held = []
+        for x in batches:
+            for h in zip(*[c.to_pylist() for c in x.columns], strict=True):
+                if held and h[:3] != held[-1][:3]:
+                    yield done(held)
+                    held = []
+                held.append(h)
+        if held:
+            yield done(held)
+
+    return arrow_batches(rows(), {"grp": pa.int64(), "node": pa.int64()})
 
 
 def in_chunks(ones: DataFrame) -> DataFrame:

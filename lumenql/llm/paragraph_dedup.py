@@ -124,9 +124,11 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
 
     base = land(docs.mapInArrow(cut, "doc_id bigint, mark bigint, i int, lo int, hi int, words int, cls bigint, part int, keys binary, nodes binary"), "paragraphs")
     found = base.where("part is null").drop(*PACKED)
-    blocks = components(land(meet(base.where("part is not null").select(*PACKED)), "meet")).withColumnRenamed("node", "cls").withColumnRenamed("root", "block")
-    each = land(found.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi", "words", "i")).alias("one"), F.max("doc_id").alias("last")).join(small(land(blocks, "blocks")), "cls", "left").where("n > 1 or block is not null"), "classes")
-    ones = in_chunks(each.where("block is not null").select("cls", "block", "one.doc_id", "one.mark", "one.lo", "one.hi", F.col("one.words").alias("n")))
+    groups = meet(base.where("part is not null").select(*PACKED), count)
+    nodes = small(land(groups.select(F.col("node").alias("cls"), F.lit(True).alias("met")).distinct(), "nodes"))
+    each = found.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi", "words", "i")).alias("one"), F.max("doc_id").alias("last"))
+    each = land(each.join(nodes, "cls", "left").where("n > 1 or met"), "classes")
+    ones = in_chunks(groups.select(F.col("node").alias("cls"), F.col("grp").alias("block")).join(each.where("met"), "cls").select("cls", "block", "one.doc_id", "one.mark", "one.lo", "one.hi", F.col("one.words").alias("n")))
     wanted = ones.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("cls", "block", "chunk", "chunks", "lo", "hi")).alias("runs"))
     texts = docs.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select(F.encode(F.col("text"), "UTF-8").alias("data"), F.explode("runs").alias("r"))
     texts = texts.select("r.cls", "r.block", "r.chunk", "r.chunks", F.substring("data", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("data"))
