@@ -11,7 +11,7 @@ from .common import small
 from .licence_texts import LICENCES, SAME, TITLES
 
 # Each step is a pattern and what replaces it, in the syntax that Java, RE2 and Python share.
-_TITLE = "|".join(re.sub(r"[^a-z0-9]+", "[^a-z0-9]+", t.lower()).strip() for t in sorted(TITLES, key=len, reverse=True))
+_TITLE = "|".join(re.sub(r"[^a-z0-9]+", " ", t.lower()).strip() for t in sorted(TITLES, key=len, reverse=True))
 STEPS = [
     (r"(?m)^[ \t]*(?://+|#+|\*+|/\*+|;+|--|rem |dnl )[ \t]?", ""),
     (r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©)[^\n]*$", " "),
@@ -19,7 +19,7 @@ STEPS = [
     (r"[^a-z0-9]+", " "),
     (r"^ +| +$", ""),
 ]
-HEAD = r"^(?:" + _TITLE.replace("[^a-z0-9]+", " ") + r") "
+HEAD = r"^(?:" + _TITLE + r") "
 
 
 def _same() -> list[tuple[str, str]]:
