@@ -122,8 +122,13 @@ class Database:
         n = parse(sql)
         if n.kind in ("select", "query"):
             return self.query(sql, params)
-        with errors():
-            count, returned = getattr(self, f"_{n.kind}")(n, params)
+        held, self.catalog = self.catalog, self.catalog.copy()
+        try:
+            with errors():
+                count, returned = getattr(self, f"_{n.kind}")(n, params)
+        except BaseException:
+            self.catalog = held
+            raise
         return count if returned is None else returned
 
     def batch(self, statements: list) -> list[int]:

@@ -663,8 +663,8 @@ class Compiler:
         sources = [Source(alias, [] if is_struct(x.type[1]) else [Column(name, x.type[1], value.sql)], value)]
         if n.offset:
             sources.append(Source("", [Column(n.offset, "INT64", f"cast({b(alias)}.`__pos` as bigint)")]))
-        lateral = f"LATERAL {call_}({x.sql}) AS {b(alias)}(`__pos`, {b(name)})"
-        return lateral if left else f"(SELECT 1) AS {b(self.fresh())} CROSS JOIN {lateral}", sources
+        table = f"{call_}({x.sql}) AS {b(alias)}(`__pos`, {b(name)})"
+        return f"LATERAL {table}" if left else table, sources
 
     def s_join(self, n, scope, left):
         sql, sources = self.source(n.left, scope, left)
