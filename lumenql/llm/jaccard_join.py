@@ -16,7 +16,7 @@ SPARE = 2
 CHUNK_SETS, CHUNK_SHINGLES = 512, 2_000_000
 #: Bitmaps that a task on a group's open pairs holds of one chunk; larger groups are split.
 GROUP_SETS = 4096
-#: Children of a tree node, and words of its bitmap.
+#: Children of a tree node, and least number of words of a bitmap.
 FANOUT, BITMAP = 8, 32
 
 
@@ -154,10 +154,30 @@ def meet(packed: DataFrame, count: int) -> DataFrame:
     return groups
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITMAP * 64, np.uint8)
-    out[(tokens % U(BITMAP * 64)).astype(np.int64)] = 1
-    return np.packbits(out).view(U)
+def bitmap(tokens: np.ndarray, width: int = 0) -> np.ndarray:
+    """Bitmap of a set as 64-bit words, BITMAP or, for large sets, as many as give two bits a token; or of a given width."""
+    if not width:
+        width = BITMAP
+        while width * 32 < len(tokens):
+            width *= 2
+    out = np.zeros(width * 64, np.uint8)
+    out[(tokens % U(width * 64)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(U)
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of words brought to a smaller width, as the same tokens set them there."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def stacked(maps: list) -> np.ndarray:
+    """Bitmaps of several widths as rows of the least of these."""
+    maps = [np.frombuffer(m, U) if isinstance(m, bytes) else m for m in maps]
+    width = min(map(len, maps))
+    return np.stack([folded(m[None, :], width)[0] for m in maps])
 
 
 class Tree:
@@ -172,6 +192,17 @@ class Tree:
         surplus = size - np.bitwise_count(maps).sum(1).astype(np.int64)
         order = np.lexsort((maps[:, 0], size))
         self.items, self.levels = order, [(maps[order], size[order], size[order], surplus[order], root[order], root[order])]
+        self.grow()
+
+    def narrow(self, width: int) -> None:
+        """Folds all bitmaps; the surplus grows by the bits that fall together."""
+        leaf = self.levels[0]
+        small_ = folded(leaf[0], width)
+        surplus = leaf[3] + np.bitwise_count(leaf[0]).sum(1).astype(np.int64) - np.bitwise_count(small_).sum(1).astype(np.int64)
+        self.levels = [(small_, leaf[1], leaf[2], surplus, leaf[4], leaf[5])]
+        self.grow()
+
+    def grow(self) -> None:
         while len(self.levels[-1][1]) > 1:
             m, lo, hi, s, a, b = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
@@ -179,6 +210,10 @@ class Tree:
 
     def pairs(self, other: Tree, num: int, den: int):
         """Index pairs of sets that the bound can't part, by traversing both trees from their roots."""
+        width = min(self.levels[0][0].shape[1], other.levels[0][0].shape[1])
+        for t in (self, other):
+            if t.levels[0][0].shape[1] > width:
+                t.narrow(width)
         top = max(len(self.levels), len(other.levels)) - 1
         i = j = np.zeros(1, np.int64)  # from here on pairs of nodes of one level
         for depth in range(top, -1, -1):
@@ -218,7 +253,7 @@ def tree_edges(node: list[int], side: list[int], data: list[bytes], num: int, de
     """Links that join what the forest has not joined yet: inside side 1 (side 0 alone if there is no side 1) and between sides."""
     sets = [np.frombuffer(x, U) for x in data]
     groups = [[k for k, s in enumerate(side) if s == v] for v in (0, 1)]
-    trees = [Tree(np.stack([bitmap(sets[k]) for k in g]), np.array([len(sets[k]) for k in g]), np.array([forest.root(node[k]) for k in g])) if g else None for g in groups]
+    trees = [Tree(stacked([bitmap(sets[k]) for k in g]), np.array([len(sets[k]) for k in g]), np.array([forest.root(node[k]) for k in g])) if g else None for g in groups]
     edges = []
     for p, q in ([(0, 0)] if not groups[1] else [(1, 1), (0, 1)] if groups[0] else [(1, 1)]):
         for a, b in zip(*trees[p].pairs(trees[q], num, den), strict=True):
@@ -343,11 +378,17 @@ def could_link(batches, num: int, den: int):
 
     def rows():
         for x in batches:
-            m, h = (np.frombuffer(b"".join(x.column(i).to_pylist()), U).reshape(-1, BITMAP) for i in (3, 5))
             n, k = x.column(2).to_numpy(), x.column(4).to_numpy()
-            surplus = np.minimum(n - np.bitwise_count(m).sum(1).astype(np.int64), k - np.bitwise_count(h).sum(1).astype(np.int64))
-            most = np.minimum(np.bitwise_count(m & h).sum(1).astype(np.int64) + surplus, np.minimum(n, k))
-            ok = most * (num + den) >= num * (n + k)
+            m, h = x.column(3).to_pylist(), x.column(5).to_pylist()
+            size = np.array([(len(u), len(v)) for u, v in zip(m, h, strict=True)], np.int64).reshape(-1, 2)
+            ok = np.zeros(len(n), bool)
+            for u, v in np.unique(size, axis=0):
+                at = np.flatnonzero((size[:, 0] == u) & (size[:, 1] == v))
+                width = min(u, v) // 8
+                p, q = (folded(np.frombuffer(b"".join(y[i] for i in at), U).reshape(len(at), -1), width) for y in (m, h))
+                surplus = np.minimum(n[at] - np.bitwise_count(p).sum(1).astype(np.int64), k[at] - np.bitwise_count(q).sum(1).astype(np.int64))
+                most = np.minimum(np.bitwise_count(p & q).sum(1).astype(np.int64) + surplus, np.minimum(n[at], k[at]))
+                ok[at] = most * (num + den) >= num * (n[at] + k[at])
             yield {"grp": x.column(0).to_numpy()[ok], "node": x.column(1).to_numpy()[ok]}
 
     return arrow_batches(rows(), {"grp": pa.int64(), "node": pa.int64()})
@@ -362,7 +403,7 @@ def open_pairs(batches, num: int, den: int):
         for v in (0, 1):
             own = [h for h, s in zip(held, side, strict=True) if s == v]
             nodes.append(np.array([h[4] for h in own], np.int64))
-            trees.append(Tree(np.stack([np.frombuffer(h[7], U) for h in own]), np.array([h[6] for h in own]), np.array([h[5] for h in own])) if own else None)
+            trees.append(Tree(stacked([h[7] for h in own]), np.array([h[6] for h in own]), np.array([h[5] for h in own])) if own else None)
         both = (0, 0) if held[0][1] == held[0][2] else (0, 1)
         if trees[both[0]] is None or trees[both[1]] is None:
             return {"grp": [], "node": []}
@@ -451,7 +492,7 @@ def _second_round(members: DataFrame, links: DataFrame, joined, num: int, den: i
                 maps, size = [], []
                 for v in x.column(3):
                     s = np.frombuffer(v.as_py(), U)
-                    maps.append(bitmap(s).view(np.int64))
+                    maps.append(bitmap(s, BITMAP).view(np.int64))
                     size.append(len(s))
                 maps, size = np.array(maps, np.int64).reshape(-1, BITMAP), np.array(size, np.int64)
                 yield {"block": x.column(0), "chunk": x.column(1), "root": x.column(2), "n": size, "surplus": size - np.bitwise_count(maps.view(U)).sum(1).astype(np.int64), **{f"w{k}": maps[:, k] for k in range(BITMAP)}}
