@@ -74,7 +74,7 @@ add("agg_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custke
 add("agg_distinct", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS c, SUM(DISTINCT o_custkey) AS s FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS c, CAST(SUM(DISTINCT o_custkey) AS BIGINT) AS s FROM orders GROUP BY o_orderstatus")
 add("countif", "SELECT o_orderstatus, COUNTIF(o_totalprice > 100000) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(COUNT(*) FILTER (WHERE o_totalprice > 100000) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
 add("logical_and_or", "SELECT o_custkey, LOGICAL_AND(o_totalprice > 1000) AS a, LOGICAL_OR(o_totalprice > 200000) AS b FROM orders GROUP BY o_custkey", "SELECT o_custkey, bool_and(o_totalprice > 1000) AS a, bool_or(o_totalprice > 200000) AS b FROM orders GROUP BY o_custkey")
-add("bit_aggs", "SELECT n_regionkey, BIT_AND(n_nationkey) AS a, BIT_OR(n_nationkey) AS o, BIT_XOR(n_nationkey) AS x FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(bit_and(n_nationkey) AS BIGINT) AS a, CAST(bit_or(n_nationkey) AS BIGINT) AS o, CAST(bit_xor(n_nationkey) AS BIGINT) AS x FROM nation GROUP BY n_regionkey")
+add("bit_aggs", "SELECT n_regionkey, BIT_AND(n_nationkey) AS a, BIT_OR(n_nationkey) AS o, BIT_XOR(n_nationkey) AS x FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, bit_and(n_nationkey) AS a, bit_or(n_nationkey) AS o, bit_xor(n_nationkey) AS x FROM nation GROUP BY n_regionkey")
 add("stddev_var", "SELECT l_returnflag, ROUND(STDDEV(l_quantity), 6) AS s, ROUND(VAR_SAMP(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag", same=True)
 add("string_agg_ordered", "SELECT n_regionkey, STRING_AGG(n_name, '|' ORDER BY n_name DESC LIMIT 3) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list(n_name ORDER BY n_name DESC)[1:3], '|') AS names FROM nation GROUP BY n_regionkey")
 add("array_agg_nulls", "SELECT n_regionkey, ARRAY_LENGTH(ARRAY_AGG(NULLIF(n_nationkey, 3))) AS n, ARRAY_LENGTH(ARRAY_AGG(NULLIF(n_nationkey, 3) IGNORE NULLS)) AS m FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, COUNT(*) AS n, COUNT(NULLIF(n_nationkey, 3)) AS m FROM nation GROUP BY n_regionkey")
@@ -134,8 +134,13 @@ add("json_value", "SELECT n_nationkey, JSON_VALUE(j, '$.name') AS v, JSON_QUERY(
 add("cosine_topk", "SELECT a.vec_id, ROUND(COSINE_DISTANCE(a.embedding, b.embedding), 5) AS d FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY d, a.vec_id LIMIT 10", "SELECT a.vec_id, ROUND(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS d FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY d, a.vec_id LIMIT 10")
 add("euclidean_dot", "SELECT a.vec_id, ROUND(EUCLIDEAN_DISTANCE(a.embedding, b.embedding), 4) AS e, ROUND(DOT_PRODUCT(a.embedding, b.embedding), 4) AS p FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 1) b", "SELECT a.vec_id, ROUND(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS e, ROUND(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS p FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 1) b")
 add("search_words", "SELECT doc_id FROM documents WHERE SEARCH(TOKENIZE_FULLTEXT(text), 'licensed apache')", "SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\s#]', '', 'g')), '\\s+'), 'licensed') AND list_contains(string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\s#]', '', 'g')), '\\s+'), 'apache')")
-add("search_phrase", "SELECT doc_id FROM documents WHERE SEARCH(TOKENIZE_FULLTEXT(text), '\"mit license\"')", "SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\s#]', '', 'g')), '\\s+'), x -> x <> ''), ' ') || ' ', ' mit license ')")
+add("search_phrase", "SELECT doc_id FROM documents WHERE SEARCH(TOKENIZE_FULLTEXT(text), '\"mit license\"')", "SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\s#]', '', 'g')), '\\s+'), lambda x: x <> ''), ' ') || ' ', ' mit license ')")
 add("net_host", "SELECT page_id, NET.HOST(url) AS h, NET.REG_DOMAIN(NET.HOST(url)) AS d FROM pages", "SELECT page_id, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS h, regexp_extract(lower(regexp_extract(url, '://([^/:?#]+)', 1)), '([^.]+\\.[^.]+)$', 1) AS d FROM pages")
+add("json_props", "SELECT event_id, JSON_VALUE(PARSE_JSON(props), '$.k') AS v, CAST(JSON_VALUE(props, '$.k') AS INT64) AS n, ARRAY_LENGTH(JSON_KEYS(PARSE_JSON(props))) AS m FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, CAST(len(json_keys(props)) AS BIGINT) AS m FROM events")
+add("timestamp_parts", "SELECT event_id, EXTRACT(HOUR FROM ts) AS h, EXTRACT(MICROSECOND FROM ts) AS u, UNIX_SECONDS(ts) AS s, TIMESTAMP_DIFF(ts, DATETIME '2024-01-01 00:00:00', MINUTE) AS m FROM events", "SELECT event_id, hour(ts) AS h, CAST(epoch_us(ts) % 1000000 AS BIGINT) AS u, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s, CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 60000000 AS BIGINT) AS m FROM events")
+add("hourly_events", "SELECT FORMAT_TIMESTAMP('%Y-%m-%d %H', ts) AS hour, event_type, COUNT(*) AS n, COUNTIF(value > 10) AS big FROM events GROUP BY hour, event_type", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, COUNT(*) AS n, CAST(COUNT(*) FILTER (WHERE value > 10) AS BIGINT) AS big FROM events GROUP BY ALL")
+add("conversation_turns", "SELECT conv_id, STRING_AGG(role, '>' ORDER BY turn) AS roles, MAX(LENGTH(text)) AS longest, COUNT(DISTINCT role) AS k FROM conversations GROUP BY conv_id", "SELECT conv_id, array_to_string(list(role ORDER BY turn), '>') AS roles, MAX(length(text)) AS longest, COUNT(DISTINCT role) AS k FROM conversations GROUP BY conv_id")
+add("ext_approx_distinct", "SELECT APPROX_COUNT_DISTINCT(o_orderstatus) AS n FROM orders", "SELECT COUNT(DISTINCT o_orderstatus) AS n FROM orders")
 add("tablesample_bounds", "SELECT COUNT(*) <= 60000000 AS ok FROM lineitem TABLESAMPLE BERNOULLI (10 PERCENT)", "SELECT true AS ok")
 add("reservoir_k", "SELECT COUNT(*) AS n FROM orders TABLESAMPLE RESERVOIR (100 ROWS)", "SELECT CAST(100 AS BIGINT) AS n")
 
@@ -163,5 +168,19 @@ change("upsert_merge", "INSERT OR UPDATE INTO region (r_regionkey, r_name) SELEC
 change("insert_on_conflict", "INSERT INTO region (r_regionkey, r_name) VALUES (1, 'x'), (9, 'y') ON CONFLICT (r_regionkey) DO UPDATE SET r_name = CONCAT(region.r_name, EXCLUDED.r_name) WHERE region.r_regionkey > 0", then="SELECT r_regionkey, r_name FROM region", oracle="SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, CASE WHEN r_regionkey = 1 THEN r_name || 'x' ELSE r_name END AS r_name FROM region UNION ALL SELECT 9, 'y'")
 change("then_return", "DELETE FROM nation WHERE n_regionkey = 2 THEN RETURN WITH ACTION AS act n_nationkey, UPPER(n_name) AS u", oracle="SELECT n_nationkey, upper(n_name) AS u, 'DELETE' AS act FROM nation WHERE n_regionkey = 2")
 change("delete_where", "DELETE FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", then="SELECT c_custkey FROM customer", oracle="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-change("information_schema_columns", then="SELECT TABLE_NAME, COLUMN_NAME, ORDINAL_POSITION FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME IN ('nation', 'region')", oracle="SELECT table_name AS \"TABLE_NAME\", column_name AS \"COLUMN_NAME\", CAST(ordinal_position AS BIGINT) AS \"ORDINAL_POSITION\" FROM (DESCRIBE nation) d, (SELECT 1) WHERE false")
-del ORACLES["information_schema_columns"]
+change("information_schema_columns", then="SELECT TABLE_NAME, COLUMN_NAME, ORDINAL_POSITION FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME IN ('nation', 'region')", oracle="SELECT * FROM (VALUES ('nation', 'n_nationkey', CAST(1 AS BIGINT)), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3), ('region', 'r_regionkey', 1), ('region', 'r_name', 2)) v(\"TABLE_NAME\", \"COLUMN_NAME\", \"ORDINAL_POSITION\")")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-minute windows of events, the batch form of the streaming extension."""
+    from pyspark.sql import functions as F
+
+    from .streaming.windows import windowed
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    d = windowed(events, "ts", "10 minutes", keys=("event_type",), n=F.count("*"), users=F.countDistinct("user_id"))
+    return d.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "users")
+
+
+QUERIES["event_windows"] = event_windows
+ORACLES["event_windows"] = "SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users FROM events GROUP BY ALL"
