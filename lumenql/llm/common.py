@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a few numbers a row, some tens of MB) may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +33,19 @@ def land(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a landed table that nothing will read again, and lets Spark drop shuffles that are done."""
-    import gc
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that are done; it does so once the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a landed table that nothing will read again, and what tidy() does."""
     jvm = df.sparkSession._jvm
     for f in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(f).getParent()
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    tidy(df.sparkSession)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, land, partitions
+from .common import arrow_batches, land, partitions, release, tidy
 from .textvec import U, mix, parts, powers, prefix, spans
 
 #: Bytes of the substrings whose least hash picks a window's anchor.
@@ -189,11 +189,14 @@ def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
     lo, hi, at = F.shiftright("span", 32).cast("int"), (F.shiftright("span", 32) + F.shiftright("span", 16).bitwiseAND(65535)).cast("int"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(65535)).cast("int")
     run = land(docs.mapInArrow(runs, "rid bigint, span bigint, key bigint, context bigint"), "runs")
     contexts = land(run.groupBy("key", "context").agg(F.count("*").alias("n"), F.first("rid").alias("rid"), F.first("span").alias("span")), "contexts")
+    tidy(spark)
     keys = contexts.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
-    whole = run.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rid", lo.alias("lo"), hi.alias("hi"))
+    whole = land(run.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rid", lo.alias("lo"), hi.alias("hi")), "whole")
+    release(run)
     wanted = contexts.join(keys, "key").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("key", "m", "n", lo.alias("lo"), hi.alias("hi"), at.alias("at"))).alias("runs"))
     text = docs.join(wanted, F.col("rid") == F.col("__rid")).select("rid", F.encode(F.col("text"), "UTF-8").alias("bytes"), F.explode("runs").alias("r"))
     cut = land(text.select("rid", "r.*", F.substring("bytes", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("bytes")), "cut")
+    release(contexts)
 
     def expand(batches):
         columns = {"rid": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
