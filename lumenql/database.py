@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +64,8 @@ def errors():
     """Spark's errors as the engine's."""
     try:
         yield
-    except PySparkException as e:
-        kind = e.getCondition() if hasattr(e, "getCondition") else ""
+    except (PySparkException, Py4JJavaError) as e:
+        kind = e.getCondition() if isinstance(e, PySparkException) else ""
         text = str(e)
         if any(w in (kind or "") + text for w in ("OVERFLOW", "DIVIDE_BY_ZERO", "REMAINDER_BY_ZERO", "OUT_OF_RANGE", "INVALID_ARRAY_INDEX")):
             raise OutOfRange(text) from e
