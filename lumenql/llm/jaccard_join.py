@@ -15,7 +15,7 @@ SPARE = 2
 #: Sets, and shingles, that a block's chunk holds on average; larger blocks are split.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 2_000_000
 #: Bitmaps that a task on a group's open pairs holds of one chunk; larger groups are split.
-GROUP_SETS = 4096
+GROUP_SETS = 1024
 #: Children of a tree node, and least number of words of a bitmap.
 FANOUT, BITMAP = 8, 32
 
