@@ -146,9 +146,7 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
         return arrow_batches(rows(), columns)
 
     members = land(texts.mapInArrow(sets, "cls bigint, block bigint, chunk bigint, chunks bigint, data binary"), "members")
-    links = link_blocks(members.where("chunks = 1"), NUM, DEN)
-    if members.where("chunks > 1").limit(1).count():
-        links = links.union(link_blocks(land(in_chunks(rebanded(members.where("chunks > 1"))), "rebanded"), NUM, DEN, every=False))
+    links = link_blocks(members, NUM, DEN)
     roots = components(links)
     each = each.alias("e").join(small(roots).alias("r"), F.col("e.cls") == F.col("r.node"), "left").select("e.cls", "n", "one", "last", F.coalesce("root", "e.cls").alias("root"))
     clusters = each.groupBy("root").agg(F.sum("n").alias("n"), F.min(F.struct("one.doc_id", "one.mark", "one.i")).alias("top"), F.max("last").alias("last")).where((F.col("n") > 1) & (~F.col("last").eqNullSafe(F.col("top.doc_id")) | F.lit(not across)))
@@ -162,41 +160,6 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
     return runs.select("doc_id", "mark", F.explode(joined).alias("r")).where(F.col("r.words") >= least_run).select("doc_id", "mark", "r.lo", "r.hi", "r.words", "r.cluster", "r.removed")
 
 
-def rebanded(members: DataFrame) -> DataFrame:
-    """Members (cls, data) of large blocks, once for each of 6 bands of two other MinHash values, as (cls, block, n, data).
-
-    Sets at similarity 0.8 are together in a band with probability 0.64, in one of the bands with 0.998.
-    """
-    seeds = mix(np.arange(101, 113, dtype=U))
-    columns = {"cls": pa.int64(), "block": pa.int64(), "n": pa.int64(), "data": pa.binary()}
-
-    def run(batches):
-        def rows():
-            for x in batches:
-                for cls, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                    g = np.frombuffer(data, U)
-                    low = np.array([mix(g ^ s).min() for s in seeds])
-                    key = mix(low[::2] ^ mix(low[1::2] + np.arange(6, dtype=U))).view(np.int64)
-                    yield {"cls": [cls] * 6, "block": key, "n": [len(g)] * 6, "data": [data] * 6}
-
-        return arrow_batches(joined_rows(rows()), columns)
-
-    return members.select("cls", "data").mapInArrow(run, "cls bigint, block bigint, n bigint, data binary")
-
-
-def joined_rows(rows, size: int = 2000):
-    """Dicts of lists put together to fewer, longer ones."""
-    held: dict[str, list] = {}
-    for x in rows:
-        for k, v in x.items():
-            held.setdefault(k, []).extend(v)
-        if len(next(iter(held.values()))) >= size:
-            yield held
-            held = {}
-    if held:
-        yield held
-
-
 def classes(grams: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each shingle set (the same for equal sets) and its MinHash keys, a row for each band."""
     n = len(bounds) - 1

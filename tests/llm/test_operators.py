@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumenql.llm import decontaminate, embedding_dups, html_extract, jaccard_join, licences, paragraph_dedup, quality, suffix_dedup
+from lumenql.llm import decontaminate, embedding_dups, html_extract, jaccard_join, licences, paragraph_dedup, quality, suffix_dedup, textvec
 from lumenql.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +99,28 @@ def test_paragraphs(spark, tiny, docs):
     assert paragraph_dedup.bands(0.8) == 3
 
 
+@pytest.mark.parametrize("chunk", [512, 2])
+def test_paragraphs_of_one_group(spark, monkeypatch, chunk):
+    """Pairs of near copies whose shingles are mostly those of all others, so that all meet in a few large groups."""
+
+    def whole(data, offsets):
+        start, end, first = textvec.words(data, offsets)
+        return np.arange(len(first) - 1), first[:-1], first[1:], start, end, textvec.word_hashes(data, start, end)
+
+    monkeypatch.setattr(paragraph_dedup, "paragraphs", whole)
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", chunk)
+    hot = " ".join(f"hot{k}" for k in range(60))
+    texts = [f"{hot} " + " ".join(f"own{k}x{j}" for j in range(7)) + end for k in range(40) for end in (" a", " b")]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    links = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 5 * len(x & y) >= 4 * len(x | y)}
+    assert links == {(i + 1, i) for i in range(0, 80, 2)}
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["cluster"]].add(r["doc_id"])
+    assert sorted(map(sorted, by.values())) == [[i, i + 1] for i in range(0, 80, 2)]
+
+
 def test_decontamination(spark, tiny):
     got = {(r["doc_id"], r["item_id"]) for r in rows(spark, "op5_decontaminate", tiny)}
     assert got == {(d, 1) for d in (300, 301, 302, 303)}
