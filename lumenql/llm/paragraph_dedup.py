@@ -28,8 +28,10 @@ def bands(similarity: float, recall: float = 0.99, rows: int = 1) -> int:
 def paragraphs(data: np.ndarray, offsets: np.ndarray):
     """(text, first word, last word + 1) of paragraphs, and start, end and hash of words.
 
-    Lines are paragraphs; inside a line a cut stands before each word whose pair with the next has the least hash of its
-    neighbourhood, and where a run of one word begins and ends. The cuts depend on the words around them only, so a passage is cut alike wherever it stands in a line.
+    A line of LEAST_WORDS words or more is a block; shorter lines that follow each other make one together. In a block a
+    cut stands before each word whose pair with the next has the least hash of its neighbourhood, and where a run of
+    LEAST_WORDS times one word begins and ends. Cuts of the first kind that leave less than LEAST_WORDS words are left
+    out. Cuts depend on the words around them in the block only, so a passage is cut alike wherever it stands in one.
     """
     start, end, first = words(data, offsets)
     h = word_hashes(LOWER[data], start, end)
@@ -37,21 +39,33 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray):
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, start, end, h
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    opens = np.zeros(n, bool)
+    opens[first[:-1][first[:-1] < n]] = True
+    line = opens.copy()
+    line[1:] |= lines[start[1:]] > lines[end[:-1]]
+    at = np.flatnonzero(line)
+    short = np.diff(np.append(at, n)) < LEAST_WORDS
+    block = at[opens[at] | ~short | ~np.append(False, short[:-1])]
+    own = np.searchsorted(block, np.arange(n), "right") - 1
     pair = np.full(n, ~U(0))
     pair[:-1] = window_hashes(h, 2)
-    full = np.concatenate([np.full(RADIUS, ~U(0)), pair, np.full(RADIUS, ~U(0))])
-    least = sliding_least(full, 2 * RADIUS + 1)
-    before = sliding_least(full, RADIUS)[:n]  # of the RADIUS pairs before
-    cut = (pair == least) & (pair < before) & (pair != ~U(0))
+    pair[block[1:] - 1] = ~U(0)  # pairs across blocks
+    place = np.arange(n) + RADIUS * own
+    full = np.full(n + RADIUS * (len(block) + 1), ~U(0))
+    full[place + RADIUS] = pair
+    least = sliding_least(full, 2 * RADIUS + 1)[place]
+    before = sliding_least(full, RADIUS)[place]  # of the RADIUS pairs before
     same = np.zeros(n + 3, bool)  # same[i]: pairs i and i + 1 are equal, so a word is said three times
-    same[: n - 1] = pair[1:] == pair[:-1]
-    run = same[:n] & same[1 : n + 1]
-    cut[1:] |= run[1:] & ~same[: n - 1]
-    cut[4:] |= ~same[2 : n - 2] & same[1 : n - 3] & same[: n - 4]
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    cut[1:] |= lines[start[1:]] > lines[end[:-1]]
-    cut[first[:-1][first[:-1] < n]] = True
-    a = np.flatnonzero(cut)
+    same[: n - 1] = (pair[1:] == pair[:-1]) & (pair[1:] != ~U(0))
+    begins = np.flatnonzero(same[:n] & same[1 : n + 1] & ~np.append(False, same[: n - 1]))
+    ends = np.flatnonzero(same[:n] & same[1 : n + 1] & ~same[2 : n + 2]) + 4
+    long = ends - begins >= LEAST_WORDS
+    hard = np.unique(np.concatenate([block, begins[long], ends[long], [n]]))
+    cut = np.flatnonzero((pair == least) & (pair < before) & (pair != ~U(0)))
+    to = np.searchsorted(hard, cut, "right")
+    cut = cut[(cut - hard[to - 1] >= LEAST_WORDS) & (hard[to] - cut >= LEAST_WORDS)]
+    a = np.union1d(hard[:-1], cut)
     b = np.append(a[1:], n)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[a]
     return text, a, b, start, end, h
@@ -68,7 +82,8 @@ def shingled(h: np.ndarray, a: np.ndarray, b: np.ndarray):
 def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int = LEAST_RUN, across: bool = True) -> DataFrame:
     """(doc_id, mark, lo, hi, words, cluster, removed): runs of paragraphs of docs (doc_id, text) that repeat.
 
-    Paragraphs of LEAST_WORDS words or more are grouped by their set of WIDTH-word shingles. Sets that collide in a band
+    Paragraphs of LEAST_WORDS words or more (all but single short lines between long ones, and words beside a run of one
+    word) are grouped by their set of WIDTH-word shingles. Sets that collide in a band
     of MinHash values, as many bands as the recall at the similarity NUM/DEN asks for, are joined: inside the connected
     blocks of collisions exact Jaccard is computed by link_blocks(), which loses no link there. Components of links are
     clusters; the first paragraph of a cluster by (doc_id, position) stays, all others are removals. Neighbouring
@@ -97,11 +112,11 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
         def rows():
             nonlocal held
             for x in batches:
-                for at, n, data, offsets in parts(x.column(1)):
+                for at, n, data, offsets in parts(x.column(1), 500_000):
                     text, a, b, start, end, h = paragraphs(data, offsets)
-                    i = np.arange(len(a)) - np.searchsorted(text, text)
                     ok = b - a >= LEAST_WORDS
-                    text, a, b, i = text[ok], a[ok], b[ok], i[ok]
+                    text, a, b = text[ok], a[ok], b[ok]
+                    i = np.arange(len(a)) - np.searchsorted(text, text)
                     grams, bounds = shingled(h, a, b)
                     cls, low = classes(grams, bounds, seeds)
                     take, base = pa.array(text), offsets[:-1][text]

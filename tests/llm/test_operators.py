@@ -121,6 +121,29 @@ def test_paragraphs_of_one_group(spark, monkeypatch, chunk):
     assert sorted(map(sorted, by.values())) == [[i, i + 1] for i in range(0, 80, 2)]
 
 
+def test_passages_of_lines(spark):
+    """An exact passage of 80 words in lines of 3 to 10 words, and one of 20 words in a line, is found whatever is around it."""
+    rng = np.random.default_rng(7)
+    say = lambda n: [f"{x:06x}" for x in rng.integers(0, 1 << 24, n)]
+    lines = lambda w, sizes: "\n".join(" ".join(w[b - n : b]) for n, b in zip(sizes, np.cumsum(sizes), strict=False) if w[b - n : b])
+    texts = []
+    for _ in range(8):
+        for k in range(3, 11):
+            passage = lines(say(80), [k] * 27)
+            texts += ["\n".join([lines(say(60), [k] * 20), passage, lines(say(60), [k] * 20)]) for _ in range(2)]
+        passage = lines(say(80), rng.integers(3, 11, 40))
+        texts += ["\n".join([lines(say(60), rng.integers(3, 11, 40)), passage, lines(say(60), rng.integers(3, 11, 40))]) for _ in range(2)]
+        passage = " ".join(say(20))
+        texts += ["\n".join([" ".join(say(int(rng.integers(2, 7)))), passage, " ".join(say(30))]) for _ in range(2)]
+    got = defaultdict(int)
+    for r in paragraph_dedup.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        got[r["doc_id"]] += r["words"]
+    assert sorted(got) == list(range(len(texts)))
+    for data in (t.encode() for t in texts[:20]):
+        _, a, b, *_ = paragraph_dedup.paragraphs(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert (b[:-1] == a[1:]).all() and a[0] == 0 and b[-1] == len(data.split())
+
+
 def test_decontamination(spark, tiny):
     got = {(r["doc_id"], r["item_id"]) for r in rows(spark, "op5_decontaminate", tiny)}
     assert got == {(d, 1) for d in (300, 301, 302, 303)}
