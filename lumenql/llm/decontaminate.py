@@ -31,7 +31,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _END = np.zeros(256, bool)
 _END[list(b".!?:")] = True
-NUMBER, NAME, UNIT = (U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
+NUMBER, NAME, UNIT, RAW = (U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0x4444444444444444))
 _UNITS = np.unique(np.concatenate([mix(spans(prefix(np.frombuffer(x.encode(), np.uint8)), np.zeros(1, np.int64), np.full(1, len(x))) + U(len(x))) for x in UNITS]))
 
 
@@ -45,7 +45,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray):
-    """Template words: start, end, template hash, first word of each text.
+    """Template words: start, end, template hash, hash of the word itself, first word of each text.
 
     A word is what stands between white space without the signs at its ends; words of signs alone are left out. Case is
     ignored for A to Z and Latin-1. Words that begin with a digit are numbers, a unit after a number is a unit, and a word with one capital, its
@@ -58,7 +58,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray):
     raw, start, end = end[ok], at[a[ok]], at[b[ok] - 1] + 1
     first = np.concatenate([[0], np.cumsum(ok)])[first]
     if not len(start):
-        return start, end, np.zeros(0, U), first
+        return start, end, np.zeros(0, U), np.zeros(0, U), first
     count = lambda marks: np.concatenate([[0], np.cumsum(marks)])
     upper, lines = count(_UPPER[data]), count(data == 10)
     h = mix(spans(prefix(lowered(data)), start, end) + (end - start).astype(U))
@@ -74,49 +74,70 @@ def canonical(data: np.ndarray, offsets: np.ndarray):
     after[1:] = number[:-1]
     after[first[:-1][first[:-1] < len(start)]] = False
     unit = after & ~number & np.isin(h, _UNITS)
-    return start, end, np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h))), first
+    return start, end, np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h))), h, first
 
 
-def template_windows(ids, data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None, width: int = WIDTH):
-    """Rows (id, row, pos, window, n, slots) of the windows of texts that are wanted (all if None).
+def among(wanted: np.ndarray | None):
+    """A function that tells which values of an array are in a sorted one (all if None)."""
+    if wanted is None:
+        return lambda x: np.ones(len(x), bool)
+    bits = max(16, (8 * len(wanted)).bit_length())
+    some = np.zeros(1 << bits, bool)
+    some[wanted >> U(64 - bits)] = True
 
-    A text with fewer than width words has one window, of all of them, if LITERAL of these are no placeholders. slots are
-    the texts of the placeholders of a window. n is the number of words of the text, row its number.
+    def found(x):
+        out = some[x >> U(64 - bits)]
+        out[out] = np.isin(x[out], wanted)
+        return out
+
+    return found
+
+
+def template_windows(ids, data: np.ndarray, offsets: np.ndarray, wanted, width: int = WIDTH, sizes: list[int] | None = None):
+    """Rows (id, row, pos, window, size, n, slots, raw) of the windows of texts that are wanted, by among().
+
+    Windows have the given sizes; without sizes they have width words, and a text with fewer words has one window, of all
+    of them. slots are the texts of the placeholders of a window. A window with less than LITERAL words that are no
+    placeholders is raw: it stands for its words as they are, lower-cased, and has no slots. Those of less than width
+    words are given raw also. n is the number of words of
+    the text, row its number.
     """
-    start, end, h, first = canonical(data, offsets)
+    start, end, h, word, first = canonical(data, offsets)
     slot = (h == NUMBER) | (h == NAME) | (h == UNIT)
     literal = np.concatenate([[0], np.cumsum(~slot)])
     count = np.diff(first)
-    texts, pos, size, value = [], [], [], []
-    grams = window_hashes(h, width)
-    if len(grams):
-        owner = np.repeat(np.arange(len(count)), count)
-        at = np.flatnonzero((owner[: len(grams)] == owner[width - 1 :]) & (literal[width:] - literal[:-width] >= LITERAL))
-        if wanted is not None:
-            at = at[np.isin(grams[at], wanted)]
-        texts, pos, size, value = [owner[at]], [at], [np.full(len(at), width)], [grams[at]]
-    for i in np.flatnonzero((count < width) & (count > 0)):
-        a, b = first[i], first[i + 1]
-        w = window_hashes(h[a:b], int(b - a))
-        if literal[b] - literal[a] >= LITERAL and (wanted is None or np.isin(w, wanted)[0]):
-            texts.append([i]), pos.append([a]), size.append([b - a]), value.append(w)
-    texts, pos, size, value = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((texts, np.int64), (pos, np.int64), (size, np.int64), (value, U)))
-    slots = [[lowered(data[start[k] : end[k]]).tobytes().decode("utf-8", "replace") for k in range(p, p + s) if slot[k]] for p, s in zip(pos, size, strict=True)]
-    return {"id": ids.take(pa.array(texts)), "row": texts, "pos": pos - first[texts], "window": value.view(np.int64), "size": size, "n": count[texts], "slots": slots}
-
-
-COLUMNS = {"id": pa.int64(), "row": pa.int64(), "pos": pa.int64(), "window": pa.int64(), "size": pa.int64(), "n": pa.int64(), "slots": pa.list_(pa.string())}
-SCHEMA = "id bigint, row bigint, pos bigint, window bigint, size bigint, n bigint, slots array<string>"
-
-
-def windows_of(texts: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
+    owner = np.repeat(np.arange(len(count)), count)
+    texts, pos, size, value, raw = [], [], [], [], []
+    for k in sizes or range(1, width + 1):
+        grams, plain = window_hashes(h, k), mix(window_hashes(word, k) ^ RAW)
+        if not len(grams):
+            continue
+        inside = owner[: len(grams)] == owner[k - 1 :]
+        if not sizes and k < width:
+            inside &= count[owner[: len(grams)]] == k
+        rich = literal[k:] - literal[:-k] >= LITERAL
+        for x, ok, is_raw in ((grams, inside & rich, False), (plain, inside & (~rich | (k < width)), True)):
+            at = np.flatnonzero(ok)
+            at = at[wanted(x[at])]
+            texts.append(owner[at]), pos.append(at), size.append(np.full(len(at), k)), value.append(x[at]), raw.append(np.full(len(at), is_raw))
+    texts, pos, size, value, raw = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((texts, np.int64), (pos, np.int64), (size, np.int64), (value, U), (raw, bool)))
+    slots = [[] if r else [lowered(data[start[k] : end[k]]).tobytes().decode("utf-8", "replace") for k in range(p, p + s) if slot[k]] for p, s, r in zip(pos, size, raw, strict=True)]
+    return {"id": ids.take(pa.array(texts)), "row": texts, "pos": pos - first[texts], "window": value.view(np.int64), "size": size, "n": count[texts], "slots": slots, "raw": raw}
+
+
+COLUMNS = {"id": pa.int64(), "row": pa.int64(), "pos": pa.int64(), "window": pa.int64(), "size": pa.int64(), "n": pa.int64(), "slots": pa.list_(pa.string()), "raw": pa.bool_()}
+SCHEMA = "id bigint, row bigint, pos bigint, window bigint, size bigint, n bigint, slots array<string>, raw boolean"
+
+
+def windows_of(texts: DataFrame, width: int, wanted: np.ndarray | None, sizes: list[int] | None = None) -> DataFrame:
     """texts: (id bigint, row bigint, text) -> windows; row is passed through."""
 
     def run(batches):
         def rows():
+            test = among(wanted)
             for x in batches:
                 for at, n, data, offsets in parts(x.column(2)):
-                    found = template_windows(x.column(0).slice(at, n), data, offsets, wanted, width)
+                    found = template_windows(x.column(0).slice(at, n), data, offsets, test, width, sizes)
                     yield found | {"row": x.column(1).slice(at, n).take(pa.array(found["row"]))}
 
         return arrow_batches(rows(), COLUMNS)
@@ -127,12 +148,13 @@ def windows_of(texts: DataFrame, width: int, wanted: np.ndarray | None) -> DataF
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run: int = RUN, share: float = SHARE) -> DataFrame:
     """(doc_id, mark, item_id, words, item_words, exact) of documents (doc_id, text) with passages of benchmark (item_id, text).
 
-    Template windows of `width` words are hash-joined. Matches of a document and an item at one distance make a run; a
+    Template windows of `width` words, for shorter items of all their words, are hash-joined; windows with less than LITERAL
+    literal words are joined by their words as they are. Matches of a document and an item at one distance make a run; a
     run counts if each of the item's slot values stands for one value in the document, whichever it is, so that questions
     with other numbers, names or units are found and chance matches are not. A pair is returned if a run has `run` words or all
     runs together `share` of the item's; words is how many of the item's are covered, exact tells whether all slots have the item's
-    own values. mark is xxhash64(text), which tells rows with one doc_id apart. Items with less than LITERAL literal words, and
-    null or empty texts, match nothing; repeated rows match each for themselves but give one row.
+    own values. mark is xxhash64(text), which tells rows with one doc_id apart. Items with less than LITERAL literal words
+    match word for word only, be it one word; null or empty texts match nothing; repeated rows match each for themselves but give one row.
 
     The benchmark's window hashes go to the executors if there are at most FILTER_WINDOWS, so only hits are shuffled.
     """
@@ -141,11 +163,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run:
     wanted = None
     if few.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in few.collect()], np.int64).view(U))
-    hits = land(windows_of(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("row"), "text"), width, wanted), "hits")
-    i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("at"), "window", "size", F.col("n").alias("item_words"), F.col("slots").alias("own"))
-    both = hits.select(F.col("id").alias("doc_id"), F.col("row").alias("mark"), "pos", "window", "size", "slots").join(i, ["window", "size"])
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())
+    hits = land(windows_of(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("row"), "text"), width, wanted, sizes or [width]), "hits")
+    i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("at"), "window", "size", F.col("n").alias("item_words"), F.col("slots").alias("own"), "raw")
+    both = hits.select(F.col("id").alias("doc_id"), F.col("row").alias("mark"), "pos", "window", "size", "slots", "raw").join(i, ["window", "size", "raw"])
     both = both.where(F.size("own") == F.size("slots")).distinct()
-    runs = both.groupBy("doc_id", "mark", "item_id", "item_words", (F.col("pos") - F.col("at")).alias("distance")).agg(
+    runs = both.groupBy("doc_id", "mark", "item_id", "item_words", "raw", (F.col("pos") - F.col("at")).alias("distance")).agg(
         F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))).alias("words"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("own").alias("own"), F.col("slots").alias("slots"))))).alias("pairs"),
     )

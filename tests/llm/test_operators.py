@@ -163,6 +163,15 @@ def test_decontamination(spark, tiny):
         decontaminate.FILTER_WINDOWS = held
 
 
+def test_decontamination_of_short_and_dense_items(spark):
+    items = ["Who wrote the old red book", "Name the capital", "12 x 34 = 408 and 56 x 78 = 4368 while 9 x 9 = 81 or 3 x 3 = 9", "Der Hund Der Katze Das Haus Am See Mit Frau Und Kind Im Garten"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [f"this page asks many things, such as {x} and then goes on for some more words" for x in items]
+    texts += ["this page asks who wrote an old red book and then goes on", "12 x 35 = 420 and 56 x 79 = 4424 while 9 x 8 = 72 or 3 x 2 = 6"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()) == [(k, k) for k in range(4)]
+
+
 def cut(texts, least=200):
     count = Counter(t[k : k + least] for t in texts for k in range(len(t) - least + 1))
     for t in texts:
