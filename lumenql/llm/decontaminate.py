@@ -97,9 +97,8 @@ def template_windows(ids, data: np.ndarray, offsets: np.ndarray, wanted, width:
     """Rows (id, row, pos, window, size, n, slots, raw) of the windows of texts that are wanted, by among().
 
     Windows have the given sizes; without sizes they have width words, and a text with fewer words has one window, of all
-    of them. slots are the texts of the placeholders of a window. A window with less than LITERAL words that are no
-    placeholders is raw: it stands for its words as they are, lower-cased, and has no slots. Those of less than width
-    words are given raw also. n is the number of words of
+    of them. slots are the texts of the placeholders of a window. Each window is given raw, for its words as they are,
+    lower-cased, without slots; one with LITERAL words that are no placeholders also for its template. n is the number of words of
     the text, row its number.
     """
     start, end, h, word, first = canonical(data, offsets)
@@ -116,7 +115,7 @@ def template_windows(ids, data: np.ndarray, offsets: np.ndarray, wanted, width:
         if not sizes and k < width:
             inside &= count[owner[: len(grams)]] == k
         rich = literal[k:] - literal[:-k] >= LITERAL
-        for x, ok, is_raw in ((grams, inside & rich, False), (plain, inside & (~rich | (k < width)), True)):
+        for x, ok, is_raw in ((grams, inside & rich, False), (plain, inside, True)):
             at = np.flatnonzero(ok)
             at = at[wanted(x[at])]
             texts.append(owner[at]), pos.append(at), size.append(np.full(len(at), k)), value.append(x[at]), raw.append(np.full(len(at), is_raw))
@@ -148,9 +147,9 @@ def windows_of(texts: DataFrame, width: int, wanted: np.ndarray | None, sizes: l
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run: int = RUN, share: float = SHARE) -> DataFrame:
     """(doc_id, mark, item_id, words, item_words, exact) of documents (doc_id, text) with passages of benchmark (item_id, text).
 
-    Template windows of `width` words, for shorter items of all their words, are hash-joined; windows with less than LITERAL
-    literal words are joined by their words as they are. Matches of a document and an item at one distance make a run; a
-    run counts if each of the item's slot values stands for one value in the document, whichever it is, so that questions
+    Template windows of `width` words, for shorter items of all their words, are hash-joined if they have LITERAL literal words,
+    and all windows by their words as they are, case ignored. Matches of a document and an item at one distance make a run; one of words
+    as they are always counts, one of templates if each of the item's slot values stands for one value in the document, whichever it is, so that questions
     with other numbers, names or units are found and chance matches are not. A pair is returned if a run has `run` words or all
     runs together `share` of the item's; words is how many of the item's are covered, exact tells whether all slots have the item's
     own values. mark is xxhash64(text), which tells rows with one doc_id apart. Items with less than LITERAL literal words

@@ -172,6 +172,16 @@ def test_decontamination_of_short_and_dense_items(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()) == [(k, k) for k in range(4)]
 
 
+def test_decontamination_word_for_word(spark):
+    """A contradiction of slots or other capitals do not hide what agrees word for word."""
+    plain = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(20))
+    items = [f"so 17 pears and {plain} then 17 plums and {plain.replace('word', 'term')}", "we saw that Anna met Bert near Rome with Carl by Kiel and Dora from Bonn or Emil off Bern"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [items[0].replace("then 17", "then 19"), items[1].lower(), items[1].upper(), "we saw that " + items[1].split(" near")[0]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
 def cut(texts, least=200):
     count = Counter(t[k : k + least] for t in texts for k in range(len(t) - least + 1))
     for t in texts:
