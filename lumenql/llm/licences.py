@@ -37,22 +37,25 @@ def canonical_text(text: str) -> str:
     return text
 
 
-def canonical(text: Column) -> Column:
-    """Lower case without comment signs, copyright lines, titles and punctuation, equivalent spellings made one."""
+def canonical(text: Column, most: int | None = None) -> Column:
+    """Lower case without comment signs, copyright lines, titles and punctuation, equivalent spellings made one.
+
+    Texts of more than most characters (longest() if None) keep their spellings, as in the SQL counterpart.
+    """
     c = F.lower(text)
     for pattern, to in STEPS:
         c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
     c = F.regexp_replace(c, F.lit(HEAD), F.lit(""))
-    maybe = F.length(c) <= longest()
+    maybe = F.length(c) <= (longest() if most is None else most)
     rest = c
     for pattern, to in _same():
         rest = F.regexp_replace(rest, F.lit(pattern), F.lit(to.replace(r"\1", "$1")))
     return F.when(maybe, rest).otherwise(c)
 
 
-def longest() -> int:
-    """Longer canonical texts cannot equal a licence's, so their spellings are left as they are."""
-    return 2 * max(len(canonical_text(t)) for t in LICENCES.values())
+def longest(texts: dict[str, str] = LICENCES) -> int:
+    """Longer canonical texts cannot equal one of LICENCES or texts, so their spellings are left as they are."""
+    return 2 * max(len(canonical_text(t)) for t in [*LICENCES.values(), *texts.values()])
 
 
 def known(spark, texts: dict[str, str] = LICENCES) -> DataFrame:
@@ -67,10 +70,10 @@ def known(spark, texts: dict[str, str] = LICENCES) -> DataFrame:
 def licence_scan(docs: DataFrame, texts: dict[str, str] = LICENCES) -> DataFrame:
     """(doc_id, digest, licence) of all docs (doc_id, text): licence names the known text that a whole document is.
 
-    digest is the SHA-256 of the canonical text. licence is null for other documents, as for null and empty texts, whose digest
+    digest is the SHA-256 of the canonical text, in which documents of over longest(texts) characters keep their spellings. licence is null for other documents, as for null and empty texts, whose digest
     is that of no text. Rows are treated one by one; the known digests, a table of fixed size, are broadcast once counted.
     """
-    d = docs.select("doc_id", F.sha2(F.coalesce(canonical(F.col("text")), F.lit("")), 256).alias("digest"))
+    d = docs.select("doc_id", F.sha2(F.coalesce(canonical(F.col("text"), longest(texts)), F.lit("")), 256).alias("digest"))
     return d.join(small(known(docs.sparkSession, texts)), "digest", "left").select("doc_id", "digest", "licence")
 
 

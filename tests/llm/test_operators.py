@@ -67,6 +67,15 @@ def test_licences(spark, tiny, docs):
     assert [r["licence"] for r in licences.licence_scan(d).orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", None, None]
 
 
+def test_long_licence(spark):
+    """A parameter text far longer than the built-in ones, with spellings that canonical() makes one."""
+    text = "\n".join(f"{k}. The authors and copyright holders give this license to owner {k}, see https://example.org/{k}" for k in range(120))
+    d = spark.createDataFrame([(0, text), (1, text.replace("license", "licence")), (2, text + " more")], "doc_id bigint, text string")
+    assert len(licences.canonical_text(text)) > licences.longest()
+    got = {r["doc_id"]: r for r in licences.licence_scan(d, {"Long": text}).collect()}
+    assert [got[k]["licence"] for k in range(3)] == ["Long", "Long", None] and got[0]["digest"] == got[1]["digest"]
+
+
 def test_shards(spark, tiny, docs):
     got = rows(spark, "op3_shard", tiny)
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, _ in docs)
