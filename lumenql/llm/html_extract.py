@@ -23,6 +23,15 @@ BOILER_WORD = frozenset(
     "header masthead footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion form search pagination pager widget copyright legal disclaimer toolbar".split()
 )
+#: Words that stand beside those in a compound and leave its meaning, as in main-nav or comments-list.
+BESIDE_WORD = frozenset(
+    "site page main global local top bottom left right upper lower center primary secondary inner outer first last mobile desktop fixed sticky floating "
+    "wrap wrapper container holder box area section region block panel zone slot row col column bar inline list lists item items group unit units link links button buttons btn icon icons "
+    "title heading head text body content message messages thread post posts article articles story entry blog news author user profile media image video google dfp html js css id the and or of to by for us "
+    "index archive category tag tags latest popular more next prev previous follow counter count toggle drop down dropdown mega sub lang language ui app web wp module component view sponsoring external".split()
+)
+#: Elements that an article has or is.
+MARKS = frozenset("article main".split())
 #: Elements that end an open p, and what each kind of item ends.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -35,15 +44,26 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "skip", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "kids", "skip", "named", "plain", "chars", "links", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag, up, skip):
         self.tag, self.up, self.skip = tag, up, skip
         self.kids = []
+        self.named = False
+
+
+def names_boiler(value: str) -> bool:
+    """Whether a token of a class or id is a boiler word, or a compound of such words and those beside them only."""
+    for token in value.split():
+        found = WORDS.findall(token)
+        if not BOILER_WORD.isdisjoint(found) and all(w in BOILER_WORD or w in BESIDE_WORD or len(w) == 1 for w in found):
+            return True
+    return False
 
 
-def boiler(tag: str, attributes: str) -> bool:
-    """Whether an element is by its name, role, class or id not part of an article."""
+def boiler(tag: str, attributes: str) -> bool | str:
+    """Whether an element is not part of an article by its name or role; "named" if by words of its class or id only."""
+    named = False
     if tag in BOILER:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -58,9 +78,9 @@ def boiler(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not BOILER_WORD.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+        if name in ("class", "id") and names_boiler(value):
+            named = "named"
+    return named
 
 
 def parse(page: str) -> Node:
@@ -118,7 +138,9 @@ def parse(page: str) -> Node:
                 if x.tag in ends:
                     now = x.up
                 x = x.up
-        node = Node(tag, now, boiler(tag, m[5]))
+        why = boiler(tag, m[5])
+        node = Node(tag, now, bool(why))
+        node.named = why == "named"
         now.kids.append(node)
         if tag in RAW:
             if low is None:
@@ -161,6 +183,27 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def spare(root: Node) -> None:
+    """Takes back the skip of elements named as boiler that hold most of the page's unlinked text.
+
+    Only if no article or main stands outside of them, nor an h1 if they have none: long comments beside an article stay out.
+    """
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [k for k in x.kids if isinstance(k, Node) and (not k.skip or k.named)]
+    if not any(x.named for x in order):
+        return
+    for x in reversed(order):
+        x.plain = 0 if x.tag == "a" else sum(visible(k) if isinstance(k, str) else k.plain for k in x.kids if isinstance(k, str) or not k.skip or k.named)
+    for x in order:  # parents first
+        if x.named and 2 * x.plain > root.plain:
+            seen = {y.tag for y in measure(root)}
+            if MARKS.isdisjoint(seen) and ("h1" not in seen or any(y.tag == "h1" and under(y, x) for y in order)):
+                x.skip = False
+
+
 def densities(root: Node) -> list[Node]:
     """Sets the composite density of each node and the sum over its children.
 
@@ -256,7 +299,9 @@ def main_text(page: str | None) -> str:
     """Main text of a page; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    top = main_node(parse(page))
+    root = parse(page)
+    spare(root)
+    top = main_node(root)
     return " ".join(blocks(top)) if top is not None else ""
 
 

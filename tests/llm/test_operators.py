@@ -279,6 +279,15 @@ def test_pages(spark, tiny):
     assert html_extract.main_text(page) == "Head Some long text, on and on and on and on."
 
 
+@pytest.mark.parametrize("name", ["site-content has-sidebar", "no-sidebar", "with-header", "long-form", "comments-open", "social-science", "legal", "form", "page-header"])
+def test_named_wrappers(name):
+    text = "A long paragraph of the article that goes on and on, with one thing after another and no links at all."
+    more = "<div class='main-nav'><a href=x>Home</a> and here</div><div class='comments-list'><p>I agree.</div>"
+    assert html_extract.main_text(f"<body><div id='top'><a href=y>Logo</a></div><div class='{name}'><h1>Head</h1><p>{text}</p><p>{text}</p>{more}</div></body>") == f"Head {text} {text}"
+    long = f"<div class='comments'><p>{text * 9}</div>"
+    assert html_extract.main_text(f"<body><div><h1>Head</h1><p>{text}</p></div>{long}</body>") == f"Head {text}"
+
+
 def test_pipeline(spark, tiny, docs):
     d = spark.read.parquet(f"{tiny}/documents.parquet")
     kept = corpus_pipeline.near_duplicates(spark, d, tiny).collect()
