@@ -285,27 +285,27 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
 
     def sets(batches):
         for x in batches:
-            ids = x.column(0)
+            ids, marks = x.column(0), x.column(2)
             for at, n, data, offsets in parts(x.column(1)):
-                yield ids.slice(at, n), list(shingle_sets(LOWER[data], offsets, width))
+                yield ids.slice(at, n), marks.slice(at, n), list(shingle_sets(LOWER[data], offsets, width))
 
     def signed(batches):
         """The table of sets with their bitmaps, and packed keys under doc_id null, part set."""
-        columns = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "map": pa.binary(), **PACKED}
+        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "map": pa.binary(), **PACKED}
         keys, nodes, held = [], [], 0
 
         def flush():
             for x in pack(np.concatenate(keys), np.concatenate(nodes), count):
                 none = [None] * len(x["part"])
-                yield {"doc_id": none, "n": none, "cls": none, "map": none, **x}
+                yield {"doc_id": none, "mark": none, "n": none, "cls": none, "map": none, **x}
             keys.clear()
             nodes.clear()
 
         def rows():
             nonlocal held
-            for ids, found in sets(batches):
+            for ids, marks, found in sets(batches):
                 cls = [set_class(s) for s in found]
-                yield {"doc_id": ids.to_pylist(), "n": [len(s) for s in found], "cls": cls, "map": [bitmap(s).tobytes() for s in found], **{k: [None] * len(found) for k in PACKED}}
+                yield {"doc_id": ids.to_pylist(), "mark": marks.to_pylist(), "n": [len(s) for s in found], "cls": cls, "map": [bitmap(s).tobytes() for s in found], **{k: [None] * len(found) for k in PACKED}}
                 for c, s in {c: s for c, s in zip(cls, found, strict=True) if len(s)}.items():
                     k = bands.keys(s)
                     keys.append(k)
@@ -319,12 +319,12 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
 
         return arrow_batches(rows(), columns)
 
-    base = land(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(signed, "doc_id bigint, n bigint, cls bigint, map binary, part int, keys binary, nodes binary"), "sets")
+    base = land(keyed(docs).mapInArrow(signed, "doc_id bigint, mark bigint, n bigint, cls bigint, map binary, part int, keys binary, nodes binary"), "sets")
     groups = meet(base.where("part is not null").select(*PACKED), count)
     every = base.where("part is null")
     rows = land(every.select("doc_id", "n", "cls"), "rows")
     nodes = small(land(groups.select(F.col("node").alias("cls")).distinct(), "nodes"))
-    ones = land(every.where("n > 0").join(nodes, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("map").alias("map")), "ones")
+    ones = land(every.where("n > 0").join(nodes, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.when(F.min("doc_id").isNull(), F.min("mark")).alias("mark"), F.max("n").alias("n"), F.first("map").alias("map")), "ones")
     release(base)
     # first each set with the least group whose hub it can be linked to
     hub = ones.select(F.col("cls").alias("grp"), F.col("map").alias("hub_map"), F.col("n").alias("hub_n"))
@@ -349,11 +349,17 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     return rows.join(small(roots), rows["cls"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): mark is xxhash64(text) for rows with a null doc_id, which it tells apart, null for others."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return d.withColumn("mark", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+
+
 def members_of(docs: DataFrame, blocks: DataFrame, ones: DataFrame, width: int) -> DataFrame:
     """blocks (cls, block) with their sets, as link_blocks() takes them; texts are read again for the classes asked for."""
-    want = in_chunks(blocks.join(ones.select("cls", "doc_id", "n"), "cls"))
-    wanted = want.groupBy(F.col("doc_id").alias("__id"), "cls").agg(F.collect_list(F.struct("block", "chunk", "chunks")).alias("places"))
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(small(land(wanted, "wanted")), F.col("doc_id") == F.col("__id")).select("cls", "text", "places")
+    want = in_chunks(blocks.join(ones.select("cls", "doc_id", "mark", "n"), "cls"))
+    wanted = want.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "cls").agg(F.collect_list(F.struct("block", "chunk", "chunks")).alias("places"))
+    texts = keyed(docs).join(small(land(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("mark").eqNullSafe(F.col("__mark"))).select("cls", "text", "places")
 
     def sets(batches):
         def rows():

@@ -271,6 +271,13 @@ def test_jaccard(spark, tiny, docs, monkeypatch, chunk, local):
     assert got == sorted((d[0], len(s), r) for d, s, r in zip(docs, sets, root, strict=True))
 
 
+def test_jaccard_without_ids(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(6)]
+    d = spark.createDataFrame([(None, t + end) for t in texts[:5] for end in (" a", " b")] + [(1, texts[5]), (None, texts[5] + " c")], "doc_id bigint, text string")
+    got = Counter(r["root"] for r in jaccard_join.jaccard_classes(d).collect())
+    assert sorted(got.values()) == [2] * 6
+
+
 def test_pages(spark, tiny):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in rows(spark, "op10_html_extract", tiny))
     text = "Title & more Some long text here, which goes on. And a second paragraph of the article."
