@@ -5,13 +5,21 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow table (a few numbers a row, some tens of MB) may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 300_000
+#: Rows, and bytes, up to which a table may be broadcast; beyond either joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 24_000_000
+#: Bytes of text whose tokens one part of a packed shuffle holds; the number of parts grows with the texts.
+PART_BYTES = 32_000_000
+
+#: Paths that the innermost scratch() has landed.
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +37,42 @@ def land(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (mine := _SCRATCH.get()) is not None:
+        mine.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what is landed inside once the block ends, but for tables given to the function it yields.
+
+    Those belong to the block around it, if there is one, and stay otherwise.
+    """
+    mine, outer, kept = [], _SCRATCH.get(), []
+    token = _SCRATCH.set(mine)
+
+    def keep(df: DataFrame, name: str = "part") -> DataFrame:
+        out = land(df, name)
+        kept.append(mine.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        if outer is not None:
+            outer += kept
+        for path in mine:
+            delete(spark, path)
+        tidy(spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs that are done; it does so once the driver collects its garbage."""
     gc.collect()
@@ -41,22 +81,52 @@ def tidy(spark: SparkSession) -> None:
 
 def release(df: DataFrame) -> None:
     """Deletes the files of a landed table that nothing will read again, and what tidy() does."""
-    jvm = df.sparkSession._jvm
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, f.rpartition("/")[0])
     tidy(df.sparkSession)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is, so that joins with it shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(field: T.StructField):
+    """Column of the bytes that a value of the field takes, roughly: what has no fixed width is measured."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.greatest(F.size(F.col(field.name)), F.lit(0)) * 64 + 16
+    return F.lit(48 if isinstance(field.dataType, T.StructType) else 8)
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else as it is, so that joins with it shuffle."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    size = sum((_bytes(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def parts_for(docs: DataFrame) -> int:
+    """Parts of a packed shuffle of what is made of docs (text): grows with the texts, four a shuffle partition at least."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(4 * partitions(docs.sparkSession), -(-size // PART_BYTES))
+
+
+def by_part(batches, column: int = 0):
+    """Lists of rows (as tuples) of one part each from batches sorted by the part."""
+    held, now = [], None
+    for x in batches:
+        for row in zip(*[c.to_pylist() for c in x.columns], strict=True):
+            if held and row[column] != now:
+                yield held
+                held = []
+            now = row[column]
+            held.append(row)
+    if held:
+        yield held
+
+
 def arrow_batches(batches, columns: dict[str, pa.DataType]):
     """Record batches from an iterator of dicts of sequences; never yields nothing at all."""
     schema = pa.schema(list(columns.items()))
@@ -79,7 +149,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.u", "e.v").distinct()
-        e = land(e, "edges")
+        old, e = e, land(e, "edges")
+        release(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -7,67 +7,161 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_batches, components, land, partitions, release, small
+from .common import Forest, arrow_batches, by_part, components, land, partitions, parts_for, release, scratch, small, tidy
 from .textvec import LOWER, U, mix, parts, shingle_sets
 
-#: Spare groups: a set with at most so many empty groups need not emit these (see Bands).
-SPARE = 2
 #: Sets, and shingles, that a block's chunk holds on average; larger blocks are split.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 2_000_000
 #: Bitmaps that a task on a group's open pairs holds of one chunk; larger groups are split.
-GROUP_SETS = 1024
+GROUP_SETS = 4096
 #: Children of a tree node, and least number of words of a bitmap.
 FANOUT, BITMAP = 8, 32
+#: Bits, probes and most entries of the filter of frequent tokens; a token counts as frequent from 2 ** LEAST_LEVEL sets.
+FILTER_BITS, PROBES, FILTER_ENTRIES, LEAST_LEVEL = 1 << 25, 4, 2_000_000, 2
+#: Tokens that a task counts, or packs keys of, before it sends them on.
+HELD = 3_000_000
 
 
-class Bands:
-    """Size bands and token groups such that two different sets at or above the threshold share a group.
+class Order:
+    """A total order of tokens, rare ones first: by level, which is about log2 of how many sets have a token, then by hash.
 
-    Sets of one band are cut into m groups by token hash. Similar sets x, y differ in at most d tokens, and m is d + 1
-    + SPARE, so SPARE + 1 groups at least are equal; if either set has at most SPARE empty groups, one of the equal
-    groups has tokens. Sets just above a band belong to it too, so that every similar pair has a band in common.
+    Levels are kept in a filter of fixed size: an entry for each frequent token and each level up to its own. The filter
+    may take a token for more frequent than it is. That is the same for the token wherever it stands, so the order stays
+    one order, and which pairs of sets meet depends on it only in number.
     """
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(self.low[-1] * 3 // 2 + 1)
-        self.cache = {}
-
-    def reach(self, n: int) -> int:
-        """Size of the largest set that can be similar to one of n tokens."""
-        return n * self.den // self.num
-
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(band, groups) of a set of n tokens."""
-        if n not in self.cache:
-            band = int(np.searchsorted(self.low, n, "right")) - 1
-            out = []
-            for b in (band - 1, band):
-                top = self.low[b + 1] - 1 if b >= 0 else 0
-                if b >= 0 and n <= self.reach(top):
-                    both = top + self.reach(top)
-                    # overlap >= num / (num + den) * both, so the difference is at most both - 2 * overlap
-                    d = both - 2 * -(-self.num * both // (self.num + self.den))
-                    if d > 0:
-                        out.append((b, d + 1 + SPARE))
-            self.cache[n] = out
-        return self.cache[n]
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """A hash for each group of each band of a sorted token array."""
-        found = []
-        sums = np.zeros(len(tokens) + 1, U)
-        np.cumsum(mix(tokens), out=sums[1:])
-        for band, m in self.of(len(tokens)):
-            step = (1 << 64) // m + 1
-            cut = np.searchsorted(tokens, np.arange(1, m, dtype=object).astype(U) * U(step))
-            cut = np.concatenate([[0], cut, [len(tokens)]])
-            key = mix((sums[cut[1:]] - sums[cut[:-1]]) ^ mix(np.arange(m, dtype=U) + U(band << 32)))
-            empty = cut[1:] == cut[:-1]
-            found.append(key if empty.sum() > SPARE else key[~empty])
-        return np.concatenate(found) if found else np.zeros(0, U)
+    def __init__(self, bits: np.ndarray | None = None, least: int = LEAST_LEVEL, most: int = 0):
+        self.bits, self.least, self.most = bits, least, most
+
+    @staticmethod
+    def places(tokens: np.ndarray, level: int):
+        """The bits of tokens at a level, an array for each probe."""
+        h = mix((tokens >> U(16)) ^ mix(np.full(1, level, U)))
+        for k in range(PROBES):
+            yield ((h + U(k) * (h >> U(32) | U(1))) % U(FILTER_BITS)).astype(np.int64)
+
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(tokens), np.int64), np.arange(len(tokens))
+        if self.bits is None:
+            return out
+        for level in range(self.least, self.most + 1):
+            mine = tokens[at]
+            ok = np.ones(len(at), bool)
+            for place in self.places(mine, level):
+                ok &= (self.bits[place >> 6] >> (place & 63).astype(U) & U(1)).astype(bool)
+            at = at[ok]
+            if not len(at):
+                break
+            out[at] = level
+        return out
+
+    def prefix(self, tokens: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The first tokens of a set such that two sets at or above the threshold have one of them in common.
+
+        Similar sets share num/den of the larger one at least, so the least of the shared tokens stands among the first
+        n - ceil(n * num / den) + 1 of each.
+        """
+        h = mix(tokens)
+        most = len(tokens) - -(-len(tokens) * num // den) + 1
+        return h[np.lexsort((h, levels))[:most]]
+
+
+def counted(batches, width: int, count: int):
+    """(part, n, first, gaps, at, times): distinct tokens, cut to 48 bits, of the distinct sets of some texts, dealt to count parts by range.
+
+    n is their number, gaps are the differences of neighbours in 4 or 8 bytes; at and times say which tokens occur several times, and how often.
+    """
+    columns = {"part": pa.int64(), "n": pa.int64(), "first": pa.int64(), "gaps": pa.binary(), "at": pa.binary(), "times": pa.binary()}
+    held, size = {}, 0
+
+    def flush():
+        v, n = np.unique(np.concatenate(list(held.values())) >> U(16), return_counts=True)
+        step = (1 << 48) // count + 1
+        cut = np.append(np.searchsorted(v, np.arange(count, dtype=np.int64).astype(U) * U(step)), len(v))
+        rows = []
+        for p in range(count):
+            mine, times = v[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]
+            if len(mine):
+                gaps = np.diff(mine)
+                many = np.flatnonzero(times > 1)
+                kind = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else U
+                rows.append((p, len(mine), int(mine[0]), gaps.astype(kind).tobytes(), many.astype(np.uint32).tobytes(), times[many].astype(np.uint32).tobytes()))
+        return {k: [r[i] for r in rows] for i, k in enumerate(columns)}
+
+    def rows():
+        nonlocal size
+        for x in batches:
+            for _, _, data, offsets in parts(x.column(0)):
+                for s in shingle_sets(LOWER[data], offsets, width):
+                    if len(s) and (c := set_class(s)) not in held:
+                        held[c] = s
+                        size += len(s)
+            if size > HELD:
+                yield flush()
+                held.clear()
+                size = 0
+        if held:
+            yield flush()
+
+    return arrow_batches(rows(), columns)
+
+
+def totals(batches, least: int):
+    """(token, n) of the tokens of counted(), dealt and sorted by part, that occur at least so often."""
+
+    def rows():
+        for held in by_part(batches):
+            tokens, times = [], []
+            for _, n, first, gaps, at, many in held:
+                gaps = np.frombuffer(gaps, U if len(gaps) == 8 * (n - 1) else np.uint32)
+                tokens.append(U(first) + np.concatenate([np.zeros(1, U), np.cumsum(gaps, dtype=U)]))
+                times.append(np.ones(n, np.int64))
+                times[-1][np.frombuffer(at, np.uint32)] = np.frombuffer(many, np.uint32)
+            tokens, times = np.concatenate(tokens), np.concatenate(times)
+            order = np.argsort(tokens)
+            tokens, times = tokens[order], times[order]
+            at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            n = np.add.reduceat(times, at)
+            yield {"token": tokens[at][n >= least].astype(np.int64), "n": n[n >= least]}
+
+    return arrow_batches(rows(), {"token": pa.int64(), "n": pa.int64()})
+
+
+def token_order(docs: DataFrame, width: int, count: int) -> Order:
+    """The order of the tokens of docs (text), from their numbers in all distinct sets (copies in one task's texts count once).
+
+    Only the filter, of fixed size, comes to the driver. If more tokens are frequent than it can tell apart, it starts at
+    a higher level.
+    """
+    packed = docs.select("text").mapInArrow(lambda x: counted(x, width, count), "part bigint, n bigint, first bigint, gaps binary, at binary, times binary")
+    dealt = packed.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
+    found = land(dealt.mapInArrow(lambda x: totals(x, 1 << LEAST_LEVEL), "token bigint, n bigint"), "frequent")
+    level = F.length(F.bin("n")) - 1
+    n = {r["level"]: r["n"] for r in found.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    if not n:
+        return Order()
+    least, most = LEAST_LEVEL, max(n)
+    while sum((k - least + 1) * v for k, v in n.items() if k >= least) > FILTER_ENTRIES:
+        least += 1
+
+    def bits(batches):
+        def rows():
+            for x in batches:
+                token, level = x.column(0).to_numpy().astype(U) << U(16), x.column(1).to_numpy()
+                mine = np.zeros(FILTER_BITS // 64, U)
+                for k in range(least, most + 1):
+                    for place in Order.places(token[level >= k], k):
+                        np.bitwise_or.at(mine, place >> 6, U(1) << (place & 63).astype(U))
+                at = np.flatnonzero(mine)
+                yield {"word": at, "bits": mine[at].view(np.int64)}
+
+        return arrow_batches(rows(), {"word": pa.int64(), "bits": pa.int64()})
+
+    words = found.select("token", level.cast("bigint").alias("level")).where(F.col("level") >= least).coalesce(partitions(docs.sparkSession)).mapInArrow(bits, "word bigint, bits bigint")
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, U)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U)
+    return Order(out, least, most)
 
 
 def set_class(tokens: np.ndarray) -> int:
@@ -123,28 +217,26 @@ def meet(packed: DataFrame, count: int) -> DataFrame:
             a, b = (b"".join(v.as_py() for v in x.column(i)) for i in (1, 2))
             yield {"grp": np.frombuffer(a, np.int64), "node": np.frombuffer(b, np.int64), "merge": [False] * (len(a) // 8)}
 
-    def group(table: pa.Table) -> pa.Table:
-        part = table.column("part").to_numpy()
-        keys, nodes, marks = [], [], []
-        for p, k, n in zip(part, table.column("keys").to_pylist(), table.column("nodes").to_pylist(), strict=True):
-            keys.append(np.frombuffer(k, U))
-            nodes.append(np.frombuffer(n, np.int64))
-            marks.append(np.full(len(k) // 8, p >= count))
-        keys, nodes, marks = np.concatenate(keys), np.concatenate(nodes), np.concatenate(marks)
-        hubs = np.unique(np.stack([keys[marks].view(np.int64), nodes[marks]], 1), axis=0) if marks.any() else np.zeros((0, 2), np.int64)
-        key, node, at = runs(keys, nodes)
-        size = np.diff(at)
-        top = np.repeat(node[at[:-1]], size)
-        many = np.repeat(size > 1, size)
-        pairs = np.unique(np.stack([top[many], node[many]], 1), axis=0)
-        # hubs of batches for one key bring their groups together
-        of = np.searchsorted(key[at[:-1]], hubs[:, 0].view(U)) if len(hubs) else np.zeros(0, np.int64)
-        merges = np.unique(np.stack([node[at[:-1]][of], hubs[:, 1]], 1), axis=0) if len(hubs) else hubs
-        return pa.table({"grp": pa.array(np.concatenate([pairs[:, 0], merges[:, 0]]), pa.int64()), "node": pa.array(np.concatenate([pairs[:, 1], merges[:, 1]]), pa.int64()), "merge": pa.array(np.arange(len(pairs) + len(merges)) >= len(pairs), pa.bool_())})
+    def group(batches):
+        for held in by_part(batches):
+            keys = np.concatenate([np.frombuffer(h[2], U) for h in held])
+            nodes = np.concatenate([np.frombuffer(h[3], np.int64) for h in held])
+            marks = np.repeat([h[1] >= count for h in held], [len(h[2]) // 8 for h in held])
+            hubs = np.unique(np.stack([keys[marks].view(np.int64), nodes[marks]], 1), axis=0) if marks.any() else np.zeros((0, 2), np.int64)
+            key, node, at = runs(keys, nodes)
+            size = np.diff(at)
+            top = np.repeat(node[at[:-1]], size)
+            many = np.repeat(size > 1, size)
+            pairs = np.unique(np.stack([top[many], node[many]], 1), axis=0)
+            # hubs of batches for one key bring their groups together
+            of = np.searchsorted(key[at[:-1]], hubs[:, 0].view(U)) if len(hubs) else np.zeros(0, np.int64)
+            merges = np.unique(np.stack([node[at[:-1]][of], hubs[:, 1]], 1), axis=0) if len(hubs) else hubs
+            yield {"grp": np.concatenate([pairs[:, 0], merges[:, 0]]), "node": np.concatenate([pairs[:, 1], merges[:, 1]]), "merge": np.arange(len(pairs) + len(merges)) >= len(pairs)}
 
     fields = {"grp": pa.int64(), "node": pa.int64(), "merge": pa.bool_()}
     near = packed.where("part < 0").mapInArrow(lambda x: arrow_batches(ends(x), fields), "grp bigint, node bigint, merge boolean")
-    far = packed.where("part >= 0").groupBy(F.col("part") % count).applyInArrow(lambda t: group(t), "grp bigint, node bigint, merge boolean")
+    dealt = packed.where("part >= 0").select((F.col("part") % count).alias("at"), *PACKED).repartition(partitions(packed.sparkSession), "at").sortWithinPartitions("at")
+    far = dealt.mapInArrow(lambda x: arrow_batches(group(x), fields), "grp bigint, node bigint, merge boolean")
     found = land(near.union(far).distinct(), "groups")
     groups = found.where("not merge").select("grp", "node")
     if found.where("merge and grp <> node").limit(1).count():
@@ -271,23 +363,25 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
 
     n is the set's size, cls its class (copies share it), root the least class that links reach. Words are lower-cased
     for A to Z. A text with fewer words than width has one shingle; null, empty and white-space texts have none and
-    link with nothing (root null). Rows with one doc_id are separate rows of the result. Exact but for 64-bit
-    collisions of hashes.
-
-    Sets that could be similar meet in groups by Bands. First each set goes with the least hub of its groups that bitmaps
-    allow a link to, and the sets of a hub are joined by signature trees. That makes components of copies of one text in
-    work proportional to their number, even if these are a third of all rows. Then, in groups that still hold several
-    components, trees of bitmaps alone find the sets in pairs across components that the bound allows, and only these
-    are joined with their sets.
+    link with nothing (root null). Rows with one doc_id are separate rows of the result. An empty table gives no rows;
+    long texts count whole. Exact but for 64-bit collisions of hashes.
+
+    Sets that could be similar meet by a token of their prefixes in an order that puts frequent tokens last (see Order):
+    a passage that many texts share brings only those together that have little else. First each set goes with the least
+    hub of its groups that bitmaps allow a link to, and the sets of a hub are joined by signature trees. That makes
+    components of copies of one text in work proportional to their number, even if these are a third of all rows. Then, in
+    groups that still hold several components, trees of bitmaps alone find the sets in pairs across components that the
+    bound allows, and only these are joined with their sets.
     """
-    spark = docs.sparkSession
-    bands, count = Bands(num, den), partitions(spark) * 4
+    with scratch(docs.sparkSession) as keep:
+        return keep(_classes(docs, width, num, den), "classes")
 
-    def sets(batches):
-        for x in batches:
-            ids, marks = x.column(0), x.column(2)
-            for at, n, data, offsets in parts(x.column(1)):
-                yield ids.slice(at, n), marks.slice(at, n), list(shingle_sets(LOWER[data], offsets, width))
+
+def _classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    spark = docs.sparkSession
+    count = parts_for(docs)
+    order = spark.sparkContext.broadcast(token_order(docs, width, count))
+    tidy(spark)
 
     def signed(batches):
         """The table of sets with their bitmaps, and packed keys under doc_id null, part set."""
@@ -303,15 +397,22 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
 
         def rows():
             nonlocal held
-            for ids, marks, found in sets(batches):
-                cls = [set_class(s) for s in found]
-                yield {"doc_id": ids.to_pylist(), "mark": marks.to_pylist(), "n": [len(s) for s in found], "cls": cls, "map": [bitmap(s).tobytes() for s in found], **{k: [None] * len(found) for k in PACKED}}
-                for c, s in {c: s for c, s in zip(cls, found, strict=True) if len(s)}.items():
-                    k = bands.keys(s)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), c, np.int64))
-                    held += len(k)
-                if held > 3_000_000:
+            for x in batches:
+                ids, marks = x.column(0), x.column(2)
+                for at, n, data, offsets in parts(x.column(1)):
+                    found = list(shingle_sets(LOWER[data], offsets, width))
+                    cls = [set_class(s) for s in found]
+                    yield {"doc_id": ids.slice(at, n).to_pylist(), "mark": marks.slice(at, n).to_pylist(), "n": [len(s) for s in found], "cls": cls, "map": [bitmap(s).tobytes() for s in found], **{k: [None] * n for k in PACKED}}
+                    one = {c: s for c, s in zip(cls, found, strict=True) if len(s)}
+                    if not one:
+                        continue
+                    bounds = np.cumsum([len(s) for s in one.values()])[:-1]
+                    levels = np.split(order.value.levels(np.concatenate(list(one.values()))), bounds)
+                    for (c, s), level in zip(one.items(), levels, strict=True):
+                        keys.append(order.value.prefix(s, level, num, den))
+                        nodes.append(np.full(len(keys[-1]), c, np.int64))
+                        held += len(keys[-1])
+                if held > HELD:
                     yield from flush()
                     held = 0
             if keys:
@@ -533,20 +634,25 @@ def distinct_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     Rows without shingles all stay. Of rows with that doc_id in the group one stays (the least by all columns' hash).
     """
     d = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    found = land(jaccard_classes(d.select(F.col("__rid").alias("doc_id"), "text"), width, num, den), "classes")
+    with scratch(docs.sparkSession) as keep:
+        drop, again = _surplus(d, jaccard_classes(d.select(F.col("__rid").alias("doc_id"), "text"), width, num, den), keep)
+    kept = d.join(small(drop), F.col("__rid") == F.col("__drop"), "left_anti")
+    once = kept.join(small(again), F.col("__rid") == F.col("__twice"), "left_anti")
+    one = kept.join(small(again), F.col("__rid") == F.col("__twice"), "left_semi").dropDuplicates(["__rid"])
+    return once.union(one).drop("__rid")
+
+
+def _surplus(d: DataFrame, found: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """Keys __drop of the rows of d that go, and __twice of those that stay but are there several times."""
     names = found.where("root is not null").select(F.col("doc_id").alias("__key"), "root").distinct()
     groups = d.select("__rid", F.col("doc_id").alias("__id")).join(names, F.col("__rid") == F.col("__key"))
     order = F.struct(F.col("__id").isNull(), "__id", "__rid")
     tops = groups.groupBy("root").agg(F.min(order)["__rid"].alias("__top"))
-    drop = land(groups.select("__rid", "root").distinct().join(small(land(tops, "tops")), "root").where("__rid <> __top").select(F.col("__rid").alias("__drop")).distinct(), "drop")
-    kept = d.join(small(drop), F.col("__rid") == F.col("__drop"), "left_anti")
-    again = kept.groupBy("__rid").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("__rid").alias("__twice")).join(names, F.col("__twice") == F.col("__key"), "left_semi")
-    again = small(land(again, "again"))
-    once = kept.join(again, F.col("__rid") == F.col("__twice"), "left_anti")
-    one = kept.join(again, F.col("__rid") == F.col("__twice"), "left_semi").dropDuplicates(["__rid"])
-    return once.union(one).drop("__rid")
+    drop = keep(groups.select("__rid", "root").distinct().join(small(land(tops, "tops")), "root").where("__rid <> __top").select(F.col("__rid").alias("__drop")).distinct(), "drop")
+    again = d.groupBy("__rid").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("__rid").alias("__twice")).join(names, F.col("__twice") == F.col("__key"), "left_semi")
+    return drop, keep(again.join(drop, F.col("__twice") == F.col("__drop"), "left_anti"), "again")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents, sets of 3-word shingles, links at Jaccard 0.9 or more."""
-    return named(land(jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 9, 10), "classes"))
+    return named(jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 9, 10))
