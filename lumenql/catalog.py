@@ -9,10 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .errors import AlreadyExists, FailedPrecondition, NotFound
+from .errors import AlreadyExists, FailedPrecondition, NotFound, OutOfRange
 from .types import of_spark
 
 _numbers = itertools.count()
+#: Values that a sequence sets aside for a call that may be made for many rows.
+BLOCK = 1 << 46
 
 
 @dataclass(frozen=True)
@@ -146,12 +148,23 @@ class Catalog:
             raise NotFound(f"sequence {name}")
         return self.sequences[name.lower()]
 
-    def next_value(self, name: str) -> str:
-        """SQL for the next values: a block of the counter, one for each row, bits reversed over 63."""
+    def next_value(self, name: str, many: bool = False) -> str:
+        """SQL for the next value, bits reversed over 63; many: for the values of many rows.
+
+        A call for many rows takes a block of the counter with room for all of Spark's row numbers (of 8,192 partitions),
+        so no later call gives one of its values again; some 130,000 such calls use a sequence up.
+        """
         s = self.sequence(name)
-        start = s.counter
-        s.counter += 1
-        return f"cast(conv(reverse(lpad(bin({start}L + monotonically_increasing_id()), 63, '0')), 2, 10) as bigint)"
+        if not many:
+            start, s.counter = s.counter, s.counter + 1
+            row = "0L"
+        else:
+            start = -(-s.counter // BLOCK) * BLOCK
+            s.counter = start + BLOCK
+            row = f"IF(monotonically_increasing_id() < {BLOCK}L, monotonically_increasing_id(), raise_error('more partitions than a sequence can number'))"
+        if s.counter >= 1 << 63:
+            raise OutOfRange(f"sequence {name} is used up")
+        return f"cast(conv(reverse(lpad(bin({start}L + {row}), 63, '0')), 2, 10) as bigint)"
 
     def sequence_state(self, name: str) -> str:
         s = self.sequence(name)

@@ -20,7 +20,7 @@ from .functions import udfs
 from .functions.base import X
 from .plans.compiler import Compiler, Scope, Source, b, literal
 from .session import configured
-from .sources.storage import snapshot
+from .sources.storage import appended, snapshot
 from .sql.ddl import parse_ddl
 from .sql.parser import N, Parser, parse, parse_expression
 from .types import NUMBERS, is_array, spark_type
@@ -246,6 +246,14 @@ class Database:
         self._check_unique(t, df)
         self.catalog.tables[t.name.lower()] = t.holding(df)
 
+    def _append(self, t: Table, new: DataFrame) -> None:
+        """Checks new rows and adds them; the old ones are not written again."""
+        new = new.select(*[b(c.name) for c in t.columns])
+        self._check_rows(t, new)
+        df = appended(t.df, new, t.name)
+        self._check_unique(t, df)
+        self.catalog.tables[t.name.lower()] = t.holding(df)
+
     def _insert_rows(self, t: Table, new: DataFrame, given: list[str], mode: str, conflict=None, params=None) -> DataFrame:
         """Writes complete rows; returns the rows written, with __action."""
         keys, old = t.keys, t.df
@@ -262,10 +270,10 @@ class Database:
         if mode == "INSERT":
             if not hit.isEmpty():
                 raise AlreadyExists(f"{t.name}: a row with this key exists")
-            self._store(t, old.unionByName(new), new)
+            self._append(t, new)
             return new.withColumn("__action", F.lit("INSERT"))
         if mode in ("OR IGNORE", "NOTHING"):
-            self._store(t, old.unionByName(fresh), fresh)
+            self._append(t, fresh)
             return fresh.withColumn("__action", F.lit("INSERT"))
         if mode == "REPLACE":
             self._store(t, self._without(old, new, keys).unionByName(new), new)

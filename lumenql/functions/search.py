@@ -87,6 +87,13 @@ def _concat(c, a):
     return X(f"IF({source} IS NULL, NULL, named_struct('kind', get({lists}, 0).kind, 'source', {source}, 'tokens', array_distinct(flatten(transform({lists}, e -> e.tokens))), 'nmin', get({lists}, 0).nmin, 'nmax', get({lists}, 0).nmax))", "TOKENLIST")
 
 
+def bound(t: str, body) -> str:
+    """body(t) with t computed once, however often body has it; columns stand for themselves."""
+    if re.fullmatch(r"[\w.`]+", t):
+        return body(t)
+    return f"get(transform(array({t}), lq_t -> {body('lq_t')}), 0)"
+
+
 def _literal(x: X, name: str) -> str:
     if not x.lit or not isinstance(x.lit[0], str):
         raise Unimplemented(f"the query of {name} must be a literal")
@@ -130,13 +137,13 @@ def rquery(t: str, text: str) -> str:
 
 @fn("SEARCH", 2, 9)
 def _search(c, a):
-    t, text = a[0].sql, _literal(a[1], "SEARCH")
+    text = _literal(a[1], "SEARCH")
     dialect = c.named.get("dialect")
     kind = dialect.lit[0] if dialect is not None and dialect.lit else "rquery"
-    body = {"rquery": lambda: rquery(t, text), "words": lambda: " AND ".join(_has(t, w) for w in _words(text)) or "false", "words_phrase": lambda: _phrase(t, text)}.get(kind)
+    body = {"rquery": lambda t: rquery(t, text), "words": lambda t: " AND ".join(_has(t, w) for w in _words(text)) or "false", "words_phrase": lambda t: _phrase(t, text)}.get(kind)
     if not body:
         raise InvalidArgument(f"unknown dialect {kind}")
-    return X(f"IF({t} IS NULL, NULL, {body()})", "BOOL")
+    return X(bound(a[0].sql, lambda t: f"IF({t} IS NULL, NULL, {body(t)})"), "BOOL")
 
 
 @fn("SEARCH_SUBSTRING", 2, 9)

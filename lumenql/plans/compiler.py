@@ -104,7 +104,8 @@ class Compiler:
     def __init__(self, catalog, params: dict | None = None, extended: bool = False):
         self.catalog, self.extended = catalog, extended
         self.params = {k.lower().lstrip("@"): v for k, v in (params or {}).items()}
-        self.safe, self.named, self.count = False, {}, 0
+        self.safe, self.named, self.count, self.many = False, {}, 0, False
+        self.shown = False  # whether an expression's value is shown, rather than a condition
         self.ctes: dict[str, list[tuple[str, Any]]] = {}
 
     # for function builders
@@ -116,7 +117,7 @@ class Compiler:
         return f"lq_safe_{name}" if self.safe else f"lq_{name}"
 
     def next_value(self, name: str) -> str:
-        return self.catalog.next_value(name)
+        return self.catalog.next_value(name, self.many)
 
     def sequence_state(self, name: str) -> str:
         return self.catalog.sequence_state(name)
@@ -303,7 +304,13 @@ class Compiler:
             raise InvalidArgument("an IN subquery has one column")
         t = common([x.type, rel.columns[0][1]])
         inner = rel.sql if rel.columns[0][1] == t else f"SELECT cast({b(rel.columns[0][0])} as {spark_type(t)}) FROM ({rel.sql})"
-        return X(f"({cast(x, t)} {no}IN ({inner}))", "BOOL")
+        one = f"({cast(x, t)} {no}IN ({inner}))"
+        if not self.shown:
+            return X(one, "BOOL")
+        # a filter may take NULL for FALSE, a value that is shown may not
+        k = self.fresh()
+        held = f"SELECT * FROM ({inner}) AS {b(k)}(v)"
+        return X(f"CASE WHEN {x.sql} IN ({inner}) THEN {'false' if no else 'true'} WHEN EXISTS ({held} WHERE v IS NULL) OR ({x.sql} IS NULL AND EXISTS ({held})) THEN NULL ELSE {'true' if no else 'false'} END", "BOOL")
 
     def e_in_unnest(self, n, scope):
         x, a = self.expr(n.arg, scope), self.expr(n.array, scope)
@@ -596,9 +603,11 @@ class Compiler:
         if not keep:
             where = f"{where[:-1]} AND {x.sql} IS NOT NULL)" if where else f" FILTER (WHERE {x.sql} IS NOT NULL)"
         keys = [(self.expr(e, scope), desc) for e, desc, _ in n.order or []]
-        item = f"struct({x.sql} AS v{''.join(f', {k.sql} AS k{i}' for i, (k, _) in enumerate(keys))})"
+        item = f"struct({''.join(f'{k.sql} AS k{i}, ' for i, (k, _) in enumerate(keys))}{x.sql} AS v)"
         got = f"collect_list({item}){where}"
-        if keys:
+        if keys and len({bool(desc) for _, desc in keys}) == 1 and isinstance(x.type, str) and not {*FLOATS} & {k.type for k, _ in keys}:
+            got = f"sort_array({got}, {'false' if keys[0][1] else 'true'})"  # equal keys by value
+        elif keys:
             got = sorted_array(got, [(k.type, desc) for k, desc in keys])
         got = f"transform({got}, e -> e.v)"
         if n.distinct:
@@ -676,15 +685,12 @@ class Compiler:
             if n.how not in ("CROSS", "INNER", "LEFT"):
                 raise InvalidArgument(f"{n.how} JOIN UNNEST")
             right.outer = n.how == "LEFT"
+            right.outer &= n.on is None  # with a condition the join itself keeps the left rows
             r, more = self.s_unnest(right, scope, [*left, *sources])
-            sql = f"{sql} {'LEFT' if n.how == 'LEFT' else 'CROSS'} JOIN {r}"
             sources = [*sources, *more]
-            if n.on is not None and n.how == "LEFT":
-                raise Unimplemented("LEFT JOIN UNNEST with ON")
-            if n.on is not None:
-                on = self.expr(n.on, Scope([*left, *sources], scope))
-                sql = sql.replace("CROSS JOIN LATERAL", "JOIN LATERAL") + f" ON {on.sql}"
-            return sql, sources
+            if n.on is None:
+                return f"{sql} {'LEFT' if n.how == 'LEFT' else 'CROSS'} JOIN {r}", sources
+            return f"{sql} {'LEFT JOIN' if n.how == 'LEFT' else 'JOIN'} {r} ON {self.expr(n.on, Scope([*left, *sources], scope)).sql}", sources
         r, more = self.source(right, scope, [])
         if right.kind == "join":
             r = f"({r})"
@@ -803,9 +809,17 @@ class Compiler:
         return out
 
     def select(self, n: N, outer: Scope | None) -> Rel:
+        held, self.shown = self.shown, False
+        try:
+            return self._select(n, outer)
+        finally:
+            self.shown = held
+
+    def _select(self, n: N, outer: Scope | None) -> Rel:
         scope = Scope([], outer)
         from_ = ""
         if n.source is not None:
+            self.many = True  # from here on a call may be made for more than one row
             from_, scope.sources = self.source(n.source, outer or Scope(), [])
             from_ = f" FROM {from_}"
         if n.where is not None:
@@ -829,7 +843,9 @@ class Compiler:
         compiled = []
         used: dict[str, int] = {}
         for i, (name, v) in enumerate(items):
+            self.shown = True
             x = v if isinstance(v, X) else self.expr(v, scope)
+            self.shown = False
             name = name or f"_c{i}"
             if name.lower() in used:
                 used[name.lower()] += 1
@@ -913,11 +929,17 @@ class Compiler:
         return [(c, new.get(c.lower(), x)) for c, x in cols if c.lower() not in gone]
 
     def extremes(self, from_: str, scope: Scope, group: list, calls: list) -> str:
-        """FROM clause that adds, for HAVING MAX and MIN, the group's extreme to each row; scope then reads from it."""
+        """FROM clause that adds, for HAVING MAX and MIN, the group's extreme to each row; scope then reads from it.
+
+        The extremes are aggregated by themselves and joined by the group's keys, so no group is gathered in one task.
+        """
         alias = self.fresh()
-        by = ", ".join(self.expr(g, scope).sql for g in group if isinstance(g, N))
-        extra = {id(c): f"{c.having[0].lower()}({self.expr(c.having[1], scope).sql}) OVER ({f'PARTITION BY {by}' if by else ''})" for c in calls}
-        cols, k = [], 0
+        by = [self.expr(g, scope).sql for g in group if isinstance(g, N)]
+        extra = {id(c): f"{c.having[0].lower()}({self.expr(c.having[1], scope).sql})" for c in calls}
+        keys = ", ".join(f"{sql} AS `__g{j}`" for j, sql in enumerate(by))
+        tops = ", ".join([*([keys] if by else []), *[f"{sql} AS `__e{j}`" for j, sql in enumerate(extra.values())]])
+        tops = f"(SELECT {tops}{from_}{f' GROUP BY {", ".join(by)}' if by else ''})"
+        cols, k = [keys] if by else [], 0
         for s in scope.sources:
             for c in s.columns:
                 cols.append(f"{c.sql} AS `__s{k}`")
@@ -928,11 +950,13 @@ class Compiler:
                 s.value = X(f"{b(alias)}.`__s{k}`", s.value.type)
                 k += 1
         names = {}
-        for j, (key, sql) in enumerate(extra.items()):
-            cols.append(f"{sql} AS `__e{j}`")
+        for j, key in enumerate(extra):
             names[key] = f"{b(alias)}.`__e{j}`"
         scope.aliases["__extremes"] = names
-        return f" FROM (SELECT {', '.join(cols)}{from_}) AS {b(alias)}"
+        on = " AND ".join(f"r.`__g{j}` <=> t.`__g{j}`" for j in range(len(by)))
+        found = ", ".join(f"t.`__e{j}`" for j in range(len(extra)))
+        cols = cols or ["1 AS `__one`"]
+        return f" FROM (SELECT r.*, {found} FROM (SELECT {', '.join(cols)}{from_}) AS r {f'JOIN {tops} AS t ON {on}' if by else f'CROSS JOIN {tops} AS t'}) AS {b(alias)}"
 
 
 def sorted_array(items: str, keys: list[tuple[Any, bool]]) -> str:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that a table may be read from; the next append brings them together in one.
+MOST_PATHS = 50
+
 
 def folder(spark: SparkSession) -> str:
     """Where snapshots go: spark.checkpoint.dir, or a temporary folder of a local session without one."""
@@ -24,4 +27,18 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/table-{name.lower().replace('.', '_')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lq_paths = [path]
+    return out
+
+
+def appended(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Both, of which only new is written if old is a snapshot or several: its files are read on."""
+    paths = getattr(old, "_lq_paths", None)
+    if not paths or len(paths) >= MOST_PATHS:
+        return snapshot(old.unionByName(new), name)
+    out = snapshot(new.select(*old.columns), name)
+    paths = [*paths, *out._lq_paths]
+    out = old.sparkSession.read.schema(old.schema).parquet(*paths)
+    out._lq_paths = paths
+    return out
