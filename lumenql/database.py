@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import datetime
 import json
+import time
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
@@ -72,6 +73,21 @@ def errors():
         raise InvalidArgument(text) from e
 
 
+@dataclass(frozen=True)
+class Partition:
+    """One part of a query's rows; frame() reads it."""
+
+    db: Database
+    sql: str
+    params: dict | None
+    index: int
+    count: int
+
+    def frame(self) -> DataFrame:
+        df = self.db.query(self.sql, self.params)
+        return df.where(F.pmod(F.xxhash64(*[F.col(b(c)) for c in df.columns]), F.lit(self.count)) == self.index)
+
+
 class Database:
     def __init__(self, spark: SparkSession, extended: bool = False):
         self.spark = configured(spark)
@@ -79,6 +95,8 @@ class Database:
             udfs.register(spark)
             spark._lq_udfs = True
         self.catalog, self.extended = Catalog(spark), extended
+        #: Called with the text of each statement before it runs: a request log, or a fault if one raises an EngineError.
+        self.observers: list = []
 
     # queries
     def register(self, name: str, df: DataFrame, key: list[str] = ()) -> Database:
@@ -95,9 +113,28 @@ class Database:
 
     def query(self, sql: str, params: dict | None = None) -> DataFrame:
         """A query as a lazy DataFrame."""
+        self._observe(sql)
+        return self._query(sql, params)
+
+    def _query(self, sql: str, params: dict | None = None) -> DataFrame:
         with errors():
             return self.spark.sql(self.compile(sql, params))
 
+    def _observe(self, sql: str) -> None:
+        for f in self.observers:
+            f(sql)
+
+    def partition_query(self, sql: str, params: dict | None = None, count: int = 1) -> list[Partition]:
+        """Parts of a query's rows by their hash: disjoint, together all of them, each to be read by itself, in any process."""
+        return [Partition(self, sql, params, k, count) for k in range(count)]
+
+    def profile(self, sql: str, params: dict | None = None) -> dict:
+        """Runs a query for its plan, its number of rows and the seconds it took (query modes PROFILE and WITH_STATS)."""
+        df, began = self.query(sql, params), time.perf_counter()
+        with errors():
+            n = df.count()
+        return {"plan": self._plan(df), "rows_returned": n, "elapsed": time.perf_counter() - began}
+
     def rows(self, sql: str, params: dict | None = None) -> list:
         with errors():
             return self.query(sql, params).collect()
@@ -113,16 +150,20 @@ class Database:
 
     def explain(self, sql: str, params: dict | None = None) -> str:
         """The physical plan (query mode PLAN)."""
-        return self.query(sql, params)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return self._plan(self.query(sql, params))
+
+    def _plan(self, df: DataFrame) -> str:
+        return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def execute(self, sql: str, params: dict | None = None):
         """Any statement: a query or THEN RETURN gives a DataFrame, a data change a row count, a schema statement None."""
+        self._observe(sql)
         head = Parser(sql).now.up
         if head in ("CREATE", "DROP", "ALTER"):
             return self.ddl(sql)
         n = parse(sql)
         if n.kind in ("select", "query"):
-            return self.query(sql, params)
+            return self._query(sql, params)
         held, self.catalog = self.catalog, self.catalog.copy()
         try:
             with errors():
@@ -486,7 +527,7 @@ class Database:
         Commit fails if a table that the transaction changed was changed outside meanwhile.
         """
         tx = Database.__new__(Database)
-        tx.spark, tx.extended, tx.catalog = self.spark, self.extended, self.catalog.copy()
+        tx.spark, tx.extended, tx.catalog, tx.observers = self.spark, self.extended, self.catalog.copy(), self.observers
         before = dict(tx.catalog.tables)
         yield tx
         changed = {k for k in {*before, *tx.catalog.tables} if before.get(k) is not tx.catalog.tables.get(k)}

@@ -27,3 +27,6 @@ class OutOfRange(EngineError):
 
 class Unimplemented(EngineError):
     """A feature that the dialect does not offer."""
+
+class Unavailable(EngineError):
+    """A fault that an observer injected."""

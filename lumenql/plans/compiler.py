@@ -591,6 +591,8 @@ class Compiler:
             "SUM": ("sum({})", "FLOAT64" if x.type in FLOATS else x.type), "AVG": ("avg({})", "NUMERIC" if x.type == "NUMERIC" else "FLOAT64"), "APPROX_COUNT_DISTINCT": ("approx_count_distinct({})", "INT64"),
         }
         form, t = forms[name]
+        if name == "MIN" and x.type in FLOATS:  # NaN is the result if there is one, as it is of MAX
+            return X(f"IF(bool_or(isnan({x.sql})){where}, cast('nan' as {spark_type(x.type)}), min({x.sql}){where})", x.type)
         if name in ("SUM", "AVG") and x.type not in (*NUMBERS, "NULL"):
             raise InvalidArgument(f"{name} of {x.type}")
         sql = form.format(d + x.sql) + where

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from .database import Database, KeyRange, KeySet, Mutation
-from .errors import EngineError
+from .errors import EngineError, Unavailable
 from .queries import ORACLES, QUERIES, change, database
 from .sources.storage import folder
 
@@ -97,7 +97,7 @@ look("is_statistics", "SELECT PACKAGE_NAME, ALLOW_GC FROM INFORMATION_SCHEMA.SPA
 look("view_scan", "SELECT v.Id, v.Name FROM BigNations v JOIN Regions r ON v.Id = r.Id WHERE r.Name <> 'ASIA'", f"SELECT n.Id, n.Name FROM {NATIONS} n JOIN {REGIONS} r ON n.Id = r.Id WHERE n.Nation > 12 AND r.Name <> 'ASIA'")
 look("default_generated", "SELECT r.Id, r.Big, r.Label, n.Score FROM Regions r JOIN Nations n ON r.Id = n.Id", f"SELECT r.Id, r.Big, r.Label, n.Score FROM {REGIONS} r JOIN {NATIONS} n ON r.Id = n.Id")
 look("generated_again", "SELECT Id, Label FROM Regions", f"SELECT Id, CASE WHEN Id = 2 THEN 'r-new' ELSE Label END AS Label FROM {REGIONS}", "UPDATE Regions SET Name = 'NEW' WHERE Id = 2")
-look("alter_table", "SELECT * FROM Traders WHERE Trader < 20", "SELECT CAST(s_suppkey AS BIGINT) AS Trader, CAST(s_suppkey % 5 AS BIGINT) AS Region, CASE WHEN s_suppkey < 5 THEN 'x' END AS Extra FROM supplier WHERE s_suppkey < 20", "ALTER TABLE Traders DROP COLUMN Note", "ALTER TABLE Traders ADD COLUMN Extra STRING(5)", "UPDATE Traders SET Extra = 'x' WHERE Trader < 5", "ALTER TABLE Traders ALTER COLUMN Extra STRING(9)")
+look("alter_table", "SELECT * FROM Traders", "SELECT CAST(s_suppkey AS BIGINT) AS Trader, CAST(s_suppkey % 5 AS BIGINT) AS Region, CASE WHEN s_suppkey < 5 THEN 'x' END AS Extra FROM supplier", "ALTER TABLE Traders DROP COLUMN Note", "ALTER TABLE Traders ADD COLUMN Extra STRING(5)", "UPDATE Traders SET Extra = 'x' WHERE Trader < 5", "ALTER TABLE Traders ALTER COLUMN Extra STRING(9)")
 scene(
     "drops", lambda db: outcome(db, "DROP TABLE Regions", "DROP VIEW BigNations", "DROP INDEX NationByScore", "DROP TABLE Nations", "DROP CHANGE STREAM Watch", "DROP SEQUENCE Numbers", "ALTER TABLE Traders DROP CONSTRAINT of_region", "INSERT INTO Traders (Trader, Region) VALUES (999999, 77)", "CREATE TABLE Traders (x INT64) PRIMARY KEY (x)", "DROP TABLE Nowhere"),
     values("step, result", (0, "FailedPrecondition"), (1, "None"), (2, "None"), (3, "None"), (4, "None"), (5, "None"), (6, "None"), (7, "1"), (8, "AlreadyExists"), (9, "NotFound")),
@@ -250,6 +250,42 @@ def _plans(db: Database) -> DataFrame:
     return db.spark.createDataFrame([("Scan parquet" in plan, "PushedFilters: [IsNotNull(Score), GreaterThan(Score,3)]" in plan)], "scans boolean, pushed boolean")
 
 
+def _partitions(db: Database) -> DataFrame:
+    out = None
+    for k, p in enumerate(db.partition_query("SELECT Nation, Name FROM Nations WHERE Id <> 2", count=4)):
+        d = p.frame().selectExpr("Nation", "Name")
+        out = d if out is None else out.unionAll(d)
+    return out
+
+
+scene("partition_reads", _partitions, f"SELECT Nation, Name FROM {NATIONS} WHERE Id <> 2")
+
+
+def _profile(db: Database) -> DataFrame:
+    p = db.profile("SELECT Nation FROM Nations WHERE Id = 1")
+    return db.spark.createDataFrame([("rows", p["rows_returned"]), ("timed", int(p["elapsed"] >= 0)), ("planned", int("Scan parquet" in p["plan"]))], "what string, n bigint")
+
+
+scene("query_profile", _profile, "SELECT 'rows' AS what, COUNT(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT * FROM (VALUES ('timed', 1), ('planned', 1))")
+
+
+def _observed(db: Database) -> DataFrame:
+    seen = []
+
+    def fail_deletes(text: str) -> None:
+        seen.append(text.split()[0])
+        if text.startswith("DELETE"):
+            raise Unavailable("injected")
+
+    db.observers.append(fail_deletes)
+    db.scalar("SELECT COUNT(*) FROM Nations")
+    result = outcome(db, "UPDATE Nations SET Score = 1 WHERE Id = 1", "DELETE FROM Nations WHERE TRUE").collect()
+    db.observers.clear()
+    rows = [(f"step {r['step']}", "changed" if r["result"].isdigit() else r["result"]) for r in result] + [("log", ",".join(seen)), ("left", str(db.scalar("SELECT COUNT(*) FROM Nations")))]
+    return db.spark.createDataFrame(rows, "what string, result string")
+
+
+scene("faults_and_log", _observed, "SELECT * FROM (VALUES ('step 0', 'changed'), ('step 1', 'Unavailable'), ('log', 'SELECT,UPDATE,DELETE')) v(what, result) UNION ALL SELECT 'left', CAST(COUNT(*) AS VARCHAR) FROM nation")
 scene("query_plan", _plans, "SELECT true AS scans, true AS pushed")
 
 #: Statements outside the dialect, or wrong, with the error each must raise.
