@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 
 from ..errors import InvalidArgument, Unimplemented
@@ -252,21 +253,44 @@ def formatted(fmt: str, t: str, zone: str | None, ts: str | None) -> str:
     return f"concat({', '.join(out) or q('')})"
 
 
-def _literal(x: X) -> str:
-    if not x.lit or not isinstance(x.lit[0], str):
-        raise Unimplemented("the format must be a literal")
-    return x.lit[0]
+#: Codes that a format which is not a literal may have.
+ALL_CODES = [*"aAbBcCdDeFgGhHIjklmMnpQRsStTuUVwWxXyYzZ%", "E*S", *[f"E{n}S" for n in range(10)], "E4Y"]
+#: A format as an array of codes and of what stands between them.
+PIECES = "regexp_extract_all({}, '(%(?:E[*0-9]S|E4Y|.)|[^%]+)', 1)"
+
+
+def by_code(fmt: X, one, plain: str) -> str:
+    """SQL that goes through a format known at run time: one(code) is the SQL for a code, plain for text p between codes."""
+    whens = []
+    for k in ALL_CODES:
+        with contextlib.suppress(Unimplemented):
+            whens.append(f"WHEN {q('%' + k)} THEN {one(k)}")
+    pieces = PIECES.format(fmt.sql)
+    return f"array_join(transform({pieces}, p -> CASE p {' '.join(whens)} ELSE IF(startswith(p, '%'), raise_error(concat('format code ', p)), {plain}) END), '')"
+
+
+def printed(fmt: X, t: str, zone: str | None, ts: str | None) -> str:
+    if fmt.lit and isinstance(fmt.lit[0], str):
+        return formatted(fmt.lit[0], t, zone, ts)
+    return f"IF({t} IS NULL, NULL, {by_code(fmt, lambda k: formatted('%' + k, t, zone, ts), 'p')})"
+
+
+def pattern_of(fmt: X) -> str:
+    if fmt.lit and isinstance(fmt.lit[0], str):
+        return q(java_pattern(fmt.lit[0]))
+    quoted = "regexp_replace(replace(p, '\\'', '\\'\\''), '([A-Za-z])', '\\'$1\\'')"
+    return by_code(fmt, lambda k: q(java_pattern("%" + k)), quoted)
 
 
 @fn("FORMAT_TIMESTAMP", 2, 3)
 def _format_timestamp(c, a):
     x, zone = stamp(a[1]), a[2].sql if len(a) > 2 else ZONE
-    return X(formatted(_literal(a[0]), local(x, zone), zone, x.sql if x.type == "TIMESTAMP" else None), "STRING")
+    return X(printed(a[0], local(x, zone), zone, x.sql if x.type == "TIMESTAMP" else None), "STRING")
 
 
 @fn("FORMAT_DATE", 2)
 def _format_date(c, a):
-    return X(formatted(_literal(a[0]), f"cast({day(a[1])} as timestamp)", None, None), "STRING")
+    return X(printed(a[0], f"cast({day(a[1])} as timestamp)", None, None), "STRING")
 
 
 def java_pattern(fmt: str) -> str:
@@ -284,15 +308,17 @@ def java_pattern(fmt: str) -> str:
 
 @fn("PARSE_TIMESTAMP", 2, 3)
 def _parse_timestamp(c, a):
-    fmt, zone = _literal(a[0]), a[2].sql if len(a) > 2 else ZONE
+    zone = a[2].sql if len(a) > 2 else ZONE
     f = "try_to_timestamp" if c.safe else "to_timestamp"
-    parsed = f"{f}({a[1].sql}, {q(java_pattern(fmt))})"
-    return X(parsed if re.search("%[zZ]", fmt) else f"to_utc_timestamp({parsed}, {zone})", "TIMESTAMP")
+    parsed = f"{f}({a[1].sql}, {pattern_of(a[0])})"
+    if not a[0].lit:
+        return X(f"IF(regexp_like({a[0].sql}, '%[zZ]'), {parsed}, to_utc_timestamp({parsed}, {zone}))", "TIMESTAMP")
+    return X(parsed if re.search("%[zZ]", a[0].lit[0] or "") else f"to_utc_timestamp({parsed}, {zone})", "TIMESTAMP")
 
 
 @fn("PARSE_DATE", 2)
 def _parse_date(c, a):
-    return X(f"cast({'try_to_timestamp' if c.safe else 'to_timestamp'}({a[1].sql}, {q(java_pattern(_literal(a[0])))}) as date)", "DATE")
+    return X(f"cast({'try_to_timestamp' if c.safe else 'to_timestamp'}({a[1].sql}, {pattern_of(a[0])}) as date)", "DATE")
 
 
 for _name in ("SECONDS", "MILLIS", "MICROS"):

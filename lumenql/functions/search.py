@@ -137,9 +137,12 @@ def rquery(t: str, text: str) -> str:
 
 @fn("SEARCH", 2, 9)
 def _search(c, a):
-    text = _literal(a[1], "SEARCH")
     dialect = c.named.get("dialect")
     kind = dialect.lit[0] if dialect is not None and dialect.lit else "rquery"
+    if not a[1].lit:
+        t = a[0].sql
+        return X(f"{c.udf('search')}(array_join({t}.tokens, '\\n'), {t}.source, {a[1].sql}, {q(kind)})", "BOOL")
+    text = _literal(a[1], "SEARCH")
     body = {"rquery": lambda t: rquery(t, text), "words": lambda t: " AND ".join(_has(t, w) for w in _words(text)) or "false", "words_phrase": lambda t: _phrase(t, text)}.get(kind)
     if not body:
         raise InvalidArgument(f"unknown dialect {kind}")
@@ -148,11 +151,22 @@ def _search(c, a):
 
 @fn("SEARCH_SUBSTRING", 2, 9)
 def _search_substring(c, a):
-    t, text = a[0].sql, _literal(a[1], "SEARCH_SUBSTRING").lower()
+    t = a[0].sql
     kind = c.named.get("relative_search_type")
     kind = kind.lit[0] if kind is not None and kind.lit else None
-    source, ws = f"lower({t}.source)", _words(text)
+    source = f"lower({t}.source)"
     w = words_sql(f"{t}.source")
+    if not a[1].lit:
+        v, ws = f"lower({a[1].sql})", words_sql(a[1].sql)
+        forms = {
+            None: f"size({ws}) > 0 AND forall({ws}, x -> contains({source}, x))", "value_prefix": f"startswith({source}, {v})", "value_suffix": f"endswith({source}, {v})", "phrase": f"contains({source}, {v})",
+            "word_prefix": f"size({ws}) > 0 AND forall({ws}, x -> exists({w}, y -> startswith(y, x)))", "word_suffix": f"size({ws}) > 0 AND forall({ws}, x -> exists({w}, y -> endswith(y, x)))",
+        }
+        if kind not in forms:
+            raise InvalidArgument(f"unknown relative_search_type {kind}")
+        return X(f"IF({t} IS NULL OR {v} IS NULL, NULL, {forms[kind]})", "BOOL")
+    text = _literal(a[1], "SEARCH_SUBSTRING").lower()
+    ws = _words(text)
     if kind == "value_prefix":
         body = f"startswith({source}, {q(text)})"
     elif kind == "value_suffix":
@@ -182,8 +196,15 @@ def _search_ngrams(c, a):
 
 @fn("SCORE", 2, 9)
 def _score(c, a):
-    t, ws = a[0].sql, _words(_literal(a[1], "SCORE"))
+    t = a[0].sql
     w = words_sql(f"{t}.source")
+    if not a[1].lit:
+        ws = words_sql(a[1].sql)
+        line = f"concat(' ', array_join({w}, ' '), ' ')"
+        single = f"transform({ws}, x -> IF(array_contains({w}, x), 1D + ln(size(filter({w}, e -> e = x))), 0D))"
+        pair = f"transform({ws}, (x, i) -> IF(i > 0 AND contains({line}, concat(' ', get({ws}, i - 1), ' ', x, ' ')), 2D, 0D))"
+        return X(f"IF({t} IS NULL OR coalesce(size({ws}), 0) <= 0, 0D, aggregate(concat({single}, {pair}), 0D, (s, v) -> s + v) / size({ws}))", "FLOAT64")
+    ws = _words(_literal(a[1], "SCORE"))
     if not ws:
         return X("0D", "FLOAT64")
     count = lambda x: f"size(filter({w}, e -> e = {q(x)}))"

@@ -372,3 +372,35 @@ def _snippet(text, query, width, many):
         out.append({"highlights": marks, "snippet": text[start:end], "source_begin": str(start + 1), "source_end": str(end + 1)})
         used = end
     return _dump({"snippets": out})
+
+
+def _plain_words(text: str) -> list[str]:
+    return re.sub(r"[^\w\s#]", "", text).lower().split()
+
+
+@udf("search", "boolean")
+def _search(tokens, source, query, kind):
+    """Whether a token list (its tokens, one a line, and its source) matches a query that is not a literal."""
+    have, line = set(tokens.split("\n")), " " + " ".join(_plain_words(source)) + " "
+    phrase = lambda v: " " + " ".join(_plain_words(v)) + " " in line
+    if kind == "words_phrase":
+        return phrase(query)
+    if kind == "words":
+        words = _plain_words(query)
+        return bool(words) and all(w in have for w in words)
+    found, pending = [], False
+    for m in re.finditer(r'(-?)"([^"]*)"|(\||\bOR\b)|(-?)([^\s"|]+)', query):
+        if m[3]:
+            pending = True
+            continue
+        words = _plain_words(m[5]) if m[5] else []
+        if m[2] is None and not words:
+            continue
+        one = phrase(m[2]) if m[2] is not None else all(w in have for w in words)
+        one = not one if m[1] or m[4] else one
+        if pending and found:
+            found[-1] = found[-1] or one
+        else:
+            found.append(one)
+        pending = False
+    return bool(found) and all(found)

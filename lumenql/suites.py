@@ -370,3 +370,26 @@ suite(
     key="n_nationkey",
 )
 add("search_either", "SELECT doc_id FROM documents WHERE SEARCH(TOKENIZE_FULLTEXT(text), 'apache OR mit')", f"SELECT doc_id FROM documents WHERE list_contains({W}, 'apache') OR list_contains({W}, 'mit')")
+
+# formats and search queries that are no literals
+FORMATS = {0: "%Y-%m-%d", 1: "%d.%m.%Y", 2: "day %j of %Y", 3: "%A, %B", 4: "%y/%m"}
+_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in FORMATS.items())
+_SHOWN = "CASE n_regionkey " + " ".join(f"WHEN {k} THEN strftime(d, '{v}')" for k, v in FORMATS.items()) + " END"
+suite(
+    "column_formats", f"(SELECT n_nationkey, CASE n_regionkey {_CASES} END AS f, CASE MOD(n_nationkey, 2) WHEN 0 THEN '%Y-%m-%d' ELSE '%d.%m.%Y' END AS g, DATE_ADD(DATE '2024-02-20', INTERVAL n_nationkey DAY) AS d FROM nation)",
+    ("shown", "FORMAT_DATE(f, d)", _SHOWN),
+    ("stamp", "FORMAT_TIMESTAMP(CONCAT(f, ' %H:%M:%S'), TIMESTAMP(d, 'UTC'), 'UTC')", f"{_SHOWN} || ' 00:00:00'"),
+    ("read", "PARSE_DATE(g, FORMAT_DATE(g, d))", "d"),
+    ("read_stamp", "UNIX_SECONDS(PARSE_TIMESTAMP(CONCAT(g, ' %H'), CONCAT(FORMAT_DATE(g, d), ' 07'), 'UTC'))", "CAST(epoch(d) + 25200 AS BIGINT)"),
+    key="n_nationkey",
+    oracle_source="(SELECT n_nationkey, n_regionkey, CAST(DATE '2024-02-20' + n_nationkey AS DATE) AS d FROM nation)",
+)
+suite(
+    "column_searches", "nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
+    ("own", "SEARCH(TOKENIZE_FULLTEXT(CONCAT(n.n_name, ' in ', r.r_name)), CONCAT(r.r_name, ' ', n.n_name))", "true"),
+    ("none", "SEARCH(TOKENIZE_FULLTEXT(n.n_name), CONCAT('-\"', n.n_name, '\"'))", "false"),
+    ("other", "SEARCH(TOKENIZE_FULLTEXT(r.r_name), CONCAT('asia OR ', IF(n.n_nationkey > 9, 'europe', 'africa')))", "r.r_name IN ('ASIA', CASE WHEN n.n_nationkey > 9 THEN 'EUROPE' ELSE 'AFRICA' END)"),
+    ("substring_", "SEARCH_SUBSTRING(TOKENIZE_SUBSTRING(n.n_name), SUBSTR(r.r_name, 1, 2))", "contains(lower(n.n_name), lower(substr(r.r_name, 1, 2)))"),
+    ("score_", "SCORE(TOKENIZE_FULLTEXT(CONCAT(r.r_name, ' ', n.n_name)), n.n_name) > 0", "true"),
+    key="n_nationkey",
+)
