@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, land, partitions, release, tidy
+from .common import arrow_batches, land, partitions, release, scratch, tidy
 from .textvec import U, mix, parts, powers, prefix, spans
 
 #: Bytes of the substrings whose least hash picks a window's anchor.
 ANCHOR = 24
 #: Distinct contexts of one anchor that one task takes (some 3 MB); more are split by _hot_ranges().
 MOST_CONTEXTS = 12_000
+#: Bytes of a text that positions in packed values can tell apart, and of a repeated string.
+MOST_BYTES, MOST_LEAST = 1 << 28, 16_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -36,6 +38,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
     """
     size = np.diff(offsets)
     n = len(data)
+    if n >= MOST_BYTES:
+        raise ValueError(f"a text of {n} bytes is longer than {MOST_BYTES}")
     if n < least or not (size >= least).any():
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
     k = min(ANCHOR, least)
@@ -196,6 +200,7 @@ def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
     wanted = contexts.join(keys, "key").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("key", "m", "n", lo.alias("lo"), hi.alias("hi"), at.alias("at"))).alias("runs"))
     text = docs.join(wanted, F.col("rid") == F.col("__rid")).select("rid", F.encode(F.col("text"), "UTF-8").alias("bytes"), F.explode("runs").alias("r"))
     cut = land(text.select("rid", "r.*", F.substring("bytes", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("bytes")), "cut")
+    del text, wanted, keys
     release(contexts)
 
     def expand(batches):
@@ -288,10 +293,17 @@ def remove_repeats(docs: DataFrame, least: int = 200, with_text: bool = False) -
 
     A byte goes if a string of `least` bytes over it also starts anywhere else, in any text or the same one; all copies
     go. Texts are UTF-8 bytes, null as empty (kept_sha256 of nothing, no span), and matches end with their text. Rows
-    with one doc_id are each treated for themselves. Exact but for collisions of 64-bit hashes.
+    with one doc_id are each treated for themselves; an empty table gives no rows, and other columns are not read. Exact but
+    for collisions of 64-bit hashes. A text of over MOST_BYTES, or least over MOST_LEAST, raises an error.
+
+    Strings that recur with all that surrounds them (whole copies) are told by hashes of runs of windows; the transform
+    decides on all others, that is wherever a passage stands in different surroundings.
     """
+    if least > MOST_LEAST:
+        raise ValueError(f"strings of more than {MOST_LEAST} bytes are not supported")
     d = identified(docs)
-    found = land(repeated_ranges(d, least), "repeats").withColumnRenamed("rid", "__rid")
+    with scratch(docs.sparkSession) as keep:
+        found = keep(repeated_ranges(d, least), "repeats").withColumnRenamed("rid", "__rid")
     d = d.join(found, F.col("rid") == F.col("__rid"), "left").select("doc_id", "text", "spans")
 
     def kept(batches):
