@@ -152,3 +152,31 @@ def test_transactions_and_state(db, tmp_path, spark):
         other.execute("INSERT INTO Singers (Id) VALUES (1)")
     db.clear()
     assert db.scalar("SELECT COUNT(*) FROM Singers") == 0
+
+
+def test_sequence_values_are_given_once(spark):
+    db = Database(spark)
+    db.ddl("CREATE SEQUENCE Seq OPTIONS (sequence_kind = 'bit_reversed_positive')")
+    db.ddl("CREATE TABLE T (K INT64 NOT NULL, N INT64) PRIMARY KEY (K)")
+    db.register("src", spark.range(50).repartition(5))
+    one = [db.scalar("SELECT GET_NEXT_SEQUENCE_VALUE(SEQUENCE Seq)") for _ in range(2)]
+    for _ in range(3):
+        db.execute("INSERT INTO T (K, N) SELECT GET_NEXT_SEQUENCE_VALUE(SEQUENCE Seq), id FROM src")
+    one += [db.scalar("SELECT GET_NEXT_SEQUENCE_VALUE(SEQUENCE Seq)") for _ in range(2)]
+    got = [r[0] for r in db.rows("SELECT K FROM T")] + one
+    assert len(got) == len(set(got)) == 154 and min(got) > 0
+
+
+def test_inserts_append(spark):
+    """An INSERT writes its own rows only; the table reads the files of all of them."""
+    db = Database(spark)
+    db.ddl("CREATE TABLE T (K INT64 NOT NULL, V STRING(MAX)) PRIMARY KEY (K)")
+    for k in range(4):
+        assert db.execute(f"INSERT INTO T (K, V) VALUES ({2 * k}, 'a'), ({2 * k + 1}, 'b')") == 2
+    paths = db.catalog.table("T").df._lq_paths
+    assert len(paths) == 4 and [spark.read.parquet(p).count() for p in paths] == [2] * 4
+    assert db.scalar("SELECT COUNT(*) FROM T") == 8
+    with pytest.raises(AlreadyExists):
+        db.execute("INSERT INTO T (K) VALUES (3)")
+    assert db.execute("UPDATE T SET V = 'c' WHERE K > 5") == 2
+    assert len(db.catalog.table("T").df._lq_paths) == 1
