@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import land, small
+from .common import land, scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Levels and bits a level of the hash that the histograms resolve.
@@ -49,11 +49,22 @@ def mix_to_weights(rows: DataFrame, weights: list[float] = (5, 2, 1), share: flo
     Thresholds are nested: a larger budget takes a superset. Empty input gives empty output; a source of size 0
     takes nothing; null is a source of its own, after all others.
     """
+    return mixed(rows, thresholds(rows, weights, share, most))
+
+
+def mixed(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """rows: (source, h) and others -> the same with source_size, target and copies by landed thresholds()."""
+    d = rows.alias("r").join(small(goal).alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    return d.select("r.*", "g.source_size", "g.target", (F.col("g.whole") + (F.col("r.h") < F.col("g.bound")).cast("bigint")).alias("copies"))
+
+
+def thresholds(rows: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target, whole and bound: a row of the source is taken whole times, and once more if h < bound."""
     sizes = land(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     goal = land(targets(sizes, list(weights), share, most).withColumns({
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"),
     }).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("bound", F.lit(0).cast("bigint")), "goal")
-    same = F.col("r.source").eqNullSafe(F.col("g.source"))
+    same = F.col("r.source").eqNullSafe(F.col("g.source"))  # sources are few
     total = LEVELS * BITS
     for level in range(LEVELS):
         shift = total - BITS * (level + 1)
@@ -68,21 +79,30 @@ def mix_to_weights(rows: DataFrame, weights: list[float] = (5, 2, 1), share: flo
             F.when(F.col("end").isNull(), F.col("g.rest")).otherwise(F.col("g.rest") - (F.col("end.upto") - F.col("end.size"))).alias("rest"),
             F.when(F.col("end").isNull(), F.when(F.col("g.rest") > 0, F.lit(1 << total) if level == 0 else F.col("g.bound") + (1 << (total - BITS * level))).otherwise(F.col("g.bound"))).otherwise(F.shiftleft(nearest if last else F.col("end.bucket"), shift)).cast("bigint").alias("bound"),
         ), "goal")
-    return rows.alias("r").join(small(goal).alias("g"), same).select("r.*", "g.source_size", "g.target", (F.col("g.whole") + (F.col("r.h") < F.col("g.bound")).cast("bigint")).alias("copies"))
+    return goal
+
+
+def position() -> Column:
+    """The hash of a document that is held against thresholds."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LEVELS * BITS)
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h) of documents, landed as every level reads it."""
-    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LEVELS * BITS)
-    return land(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sized")
+    return land(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), position().alias("h")), "sized")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns kept, each row as often as the mix takes it (see mix_to_weights()); rows with no copy go."""
-    taken = mix_to_weights(sized(docs), **options).select(F.xxhash64("doc_id", "h").alias("__key"), "copies").groupBy("__key").agg(F.max("copies").alias("__copies"))
-    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LEVELS * BITS)
-    d = docs.withColumn("__rid", F.xxhash64("doc_id", h)).join(small(land(taken.where("__copies > 0"), "taken")), F.col("__rid") == F.col("__key"))
-    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__rid", "__key", "__copies", "__copy")
+    """docs, all columns kept, each row as often as the mix takes it (see mix_to_weights()); rows with no copy go.
+
+    Texts are only held against the thresholds of their source, a small table, so they are not shuffled.
+    """
+    with scratch(docs.sparkSession) as keep:
+        goal = keep(thresholds(sized(docs), **options).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("bound").alias("__bound")), "goal")
+    d = docs.join(small(goal), F.col("source").eqNullSafe(F.col("__source")))
+    copies = F.col("__whole") + (position() < F.col("__bound")).cast("bigint")
+    d = d.withColumn("__copies", copies).where("__copies > 0")
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

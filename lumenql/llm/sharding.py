@@ -9,8 +9,8 @@ from .common import land, small
 
 #: Bits a dimension is quantised to.
 BITS = 5
-#: Ranges that the order is cut into for ranking; each is sorted by itself.
-RANGES = 2048
+#: Ranges, at least, that the order is cut into for ranking, and rows that one has on average; each is sorted by itself.
+RANGES, RANGE_ROWS = 2048, 50_000
 
 
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
@@ -59,7 +59,7 @@ def hilbert_shards(rows: DataFrame, shards: int, dims: tuple[str, ...] = ("lang"
 
     Each text column of dims is quantised by its share of rows, size by the logarithm; the curve over the cells orders
     the rows, a hash of the tie columns orders those of a cell, and the order is cut into runs. The rank is exact and
-    needs no task that sees all rows: counts of (cell, hash range) are summed up over a few thousand ranges, and only
+    needs no task that sees all rows: counts of (cell, hash range) are summed up over RANGES ranges or more, and only
     inside a range are rows sorted. A cell with a third of the rows is cut into as many ranges as its count asks for.
     Null values have a cell of their own before all others. Equal rows take neighbouring slots in any order. Empty
     input gives an empty result. Other columns pass through; those named curve, shard or slot are replaced.
@@ -76,7 +76,7 @@ def hilbert_shards(rows: DataFrame, shards: int, dims: tuple[str, ...] = ("lang"
     d = land(d, "curve")
     counts = land(d.groupBy("curve").agg(F.count("*").alias("__n")), "counts")
     total = counts.agg(F.sum("__n")).first()[0] or 0
-    ranges = counts.select("curve", F.greatest(F.lit(1), F.ceil(F.col("__n") * RANGES / max(1, total))).cast("bigint").alias("__ranges"))
+    ranges = counts.select("curve", F.greatest(F.lit(1), F.ceil(F.col("__n") * max(RANGES, total // RANGE_ROWS) / max(1, total))).cast("bigint").alias("__ranges"))
     d = d.join(small(ranges), "curve").withColumn("__part", F.shiftright(F.col("__tie") * F.col("__ranges"), 24)).drop("__ranges")
     sums = land(d.groupBy("curve", "__part").agg(F.count("*").alias("__n")), "sums")
     sums = land(sums.select("curve", "__part", (F.sum("__n").over(Window.orderBy("curve", "__part")) - F.col("__n")).alias("__before")), "before")
