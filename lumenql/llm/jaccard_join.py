@@ -18,6 +18,8 @@ GROUP_SETS = 4096
 FANOUT, BITMAP = 8, 32
 #: Bits, probes and most entries of the filter of frequent tokens; a token counts as frequent from 2 ** LEAST_LEVEL sets.
 FILTER_BITS, PROBES, FILTER_ENTRIES, LEAST_LEVEL = 1 << 25, 4, 2_000_000, 2
+#: Sizes beyond this count as equal where sizes rule out links.
+MOST_SIZE = (1 << 31) - 1
 #: Tokens that a task counts, or packs keys of, before it sends them on.
 HELD = 3_000_000
 
@@ -170,74 +172,84 @@ def set_class(tokens: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-PACKED = {"part": pa.int32(), "keys": pa.binary(), "nodes": pa.binary()}
+PACKED = {"part": pa.int32(), "keys": pa.binary(), "nodes": pa.binary(), "sizes": pa.binary()}
 #: Nodes that may share a key in one batch before they are put under a hub of the batch.
 LOCAL = 64
 
 
-def runs(key: np.ndarray, node: np.ndarray):
-    """(key, node) sorted and distinct, with the bounds of each key's run."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+def runs(key: np.ndarray, node: np.ndarray, size: np.ndarray):
+    """(key, node, size) sorted by key and size, and distinct, with the bounds of each key's run."""
+    order = np.lexsort((node, size, key))
+    key, node, size = key[order], node[order], size[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[new], node[new]
+    key, node, size = key[new], node[new], size[new]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
-    return key, node, np.append(np.flatnonzero(first), len(key))
+    return key, node, size, np.append(np.flatnonzero(first), len(key))
 
 
-def pack(key: np.ndarray, node: np.ndarray, count: int):
-    """Rows of PACKED: (key, node) pairs dealt to count parts by key.
+def pack(key: np.ndarray, node: np.ndarray, count: int, size: np.ndarray | None = None):
+    """Rows of PACKED: (key, node) pairs dealt to count parts by key, with the nodes' sizes if given.
 
     A key that more than LOCAL nodes of the batch have sends one node, the hub, marked by a part beyond count; part -1 has
     the (hub, node) memberships of such keys. So what is shuffled of a hot key is a few pairs a batch.
     """
-    key, node, at = runs(key, node)
-    size = np.diff(at)
-    hot = np.repeat(size > LOCAL, size)
-    hub = np.repeat(node[at[:-1]], size) if len(node) else node
+    sized = size is not None
+    key, node, size, at = runs(key, node, size if sized else np.zeros(len(key), np.int32))
+    many = np.diff(at)
+    hot = np.repeat(many > LOCAL, many)
+    least = np.minimum.reduceat(node, at[:-1]) if len(node) else node
     rows = []
-    for base, k, n in ((0, key[~hot], node[~hot]), (count, key[at[:-1]][size > LOCAL], node[at[:-1]][size > LOCAL])):
+    for base, k, n, z in ((0, key[~hot], node[~hot], size[~hot]), (count, key[at[:-1]][many > LOCAL], least[many > LOCAL], size[:0])):
         cut = np.searchsorted(k, np.arange(1, count, dtype=object).astype(U) * U((1 << 64) // count + 1))
         cut = np.concatenate([[0], cut, [len(k)]])
-        rows += [(base + p, k[cut[p] : cut[p + 1]].tobytes(), n[cut[p] : cut[p + 1]].tobytes()) for p in range(count) if cut[p] < cut[p + 1]]
+        rows += [(base + p, k[cut[p] : cut[p + 1]].tobytes(), n[cut[p] : cut[p + 1]].tobytes(), z[cut[p] : cut[p + 1]].astype(np.int32).tobytes() if sized and not base else b"") for p in range(count) if cut[p] < cut[p + 1]]
     if hot.any():
-        pairs = np.unique(np.stack([hub[hot], node[hot]], 1), axis=0)
-        rows.append((-1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
+        pairs = np.unique(np.stack([np.repeat(least, many)[hot], node[hot]], 1), axis=0)
+        rows.append((-1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), b""))
     if rows:
         yield {k: [r[i] for r in rows] for i, k in enumerate(PACKED)}
 
 
-def meet(packed: DataFrame, count: int) -> DataFrame:
-    """Groups (grp, node) such that any two nodes with a key in common are in one group; grp is the least node of a key."""
+def meet(packed: DataFrame, count: int, num: int = 0, den: int = 1) -> DataFrame:
+    """Groups (grp, node) such that any two nodes with a key in common are in one group, if their sizes allow a link at num/den.
 
-    def ends(batches):
-        for x in batches:
-            a, b = (b"".join(v.as_py() for v in x.column(i)) for i in (1, 2))
-            yield {"grp": np.frombuffer(a, np.int64), "node": np.frombuffer(b, np.int64), "merge": [False] * (len(a) // 8)}
+    grp is the least node of a key, or of a run of its nodes by size without a gap that no link spans.
+    """
 
     def group(batches):
         for held in by_part(batches):
+            if held[0][0] < 0:  # memberships under hubs
+                a, b = (np.frombuffer(b"".join(h[i] for h in held), np.int64) for i in (2, 3))
+                yield {"grp": a, "node": b, "merge": np.zeros(len(a), bool)}
+                continue
             keys = np.concatenate([np.frombuffer(h[2], U) for h in held])
             nodes = np.concatenate([np.frombuffer(h[3], np.int64) for h in held])
+            sizes = np.concatenate([np.frombuffer(h[4], np.int32) if h[4] else np.zeros(len(h[2]) // 8, np.int32) for h in held]).astype(np.int64)
             marks = np.repeat([h[1] >= count for h in held], [len(h[2]) // 8 for h in held])
             hubs = np.unique(np.stack([keys[marks].view(np.int64), nodes[marks]], 1), axis=0) if marks.any() else np.zeros((0, 2), np.int64)
-            key, node, at = runs(keys, nodes)
-            size = np.diff(at)
-            top = np.repeat(node[at[:-1]], size)
-            many = np.repeat(size > 1, size)
-            pairs = np.unique(np.stack([top[many], node[many]], 1), axis=0)
+            key, node, size, at = runs(keys, nodes, sizes)
+            if not len(key):
+                continue
+            cut = np.ones(len(key), bool)
+            cut[1:] = (key[1:] != key[:-1]) | (size[1:] * num > size[:-1] * den)
+            if len(hubs):  # a hub stands for nodes of any size
+                cut[1:] &= (key[1:] != key[:-1]) | ~np.isin(key[1:], hubs[:, 0].view(U))
+            first = np.flatnonzero(cut)
+            many = np.diff(np.append(first, len(key)))
+            top = np.repeat(np.minimum.reduceat(node, first), many)
+            some = np.repeat(many > 1, many)
+            pairs = np.unique(np.stack([top[some], node[some]], 1), axis=0)
             # hubs of batches for one key bring their groups together
-            of = np.searchsorted(key[at[:-1]], hubs[:, 0].view(U)) if len(hubs) else np.zeros(0, np.int64)
-            merges = np.unique(np.stack([node[at[:-1]][of], hubs[:, 1]], 1), axis=0) if len(hubs) else hubs
+            of = np.searchsorted(key, hubs[:, 0].view(U)) if len(hubs) else np.zeros(0, np.int64)
+            merges = np.unique(np.stack([top[of], hubs[:, 1]], 1), axis=0) if len(hubs) else hubs
             yield {"grp": np.concatenate([pairs[:, 0], merges[:, 0]]), "node": np.concatenate([pairs[:, 1], merges[:, 1]]), "merge": np.arange(len(pairs) + len(merges)) >= len(pairs)}
 
     fields = {"grp": pa.int64(), "node": pa.int64(), "merge": pa.bool_()}
-    near = packed.where("part < 0").mapInArrow(lambda x: arrow_batches(ends(x), fields), "grp bigint, node bigint, merge boolean")
-    dealt = packed.where("part >= 0").select((F.col("part") % count).alias("at"), *PACKED).repartition(partitions(packed.sparkSession), "at").sortWithinPartitions("at")
-    far = dealt.mapInArrow(lambda x: arrow_batches(group(x), fields), "grp bigint, node bigint, merge boolean")
-    found = land(near.union(far).distinct(), "groups")
+    at = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(count).cast("bigint"))).otherwise(F.col("part") % count)
+    dealt = packed.select(at.cast("bigint").alias("at"), *PACKED).repartition(partitions(packed.sparkSession), "at").sortWithinPartitions("at")
+    found = land(dealt.mapInArrow(lambda x: arrow_batches(group(x), fields), "grp bigint, node bigint, merge boolean").distinct(), "groups")
     groups = found.where("not merge").select("grp", "node")
     if found.where("merge and grp <> node").limit(1).count():
         roots = components(found.where("merge").select(F.col("grp").alias("a"), F.col("node").alias("b")))
@@ -386,14 +398,14 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def signed(batches):
         """The table of sets with their bitmaps, and packed keys under doc_id null, part set."""
         columns = {"doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "map": pa.binary(), **PACKED}
-        keys, nodes, held = [], [], 0
+        keys, nodes, sizes, held = [], [], [], 0
 
         def flush():
-            for x in pack(np.concatenate(keys), np.concatenate(nodes), count):
+            for x in pack(np.concatenate(keys), np.concatenate(nodes), count, np.concatenate(sizes)):
                 none = [None] * len(x["part"])
                 yield {"doc_id": none, "mark": none, "n": none, "cls": none, "map": none, **x}
-            keys.clear()
-            nodes.clear()
+            for x in (keys, nodes, sizes):
+                x.clear()
 
         def rows():
             nonlocal held
@@ -411,6 +423,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     for (c, s), level in zip(one.items(), levels, strict=True):
                         keys.append(order.value.prefix(s, level, num, den))
                         nodes.append(np.full(len(keys[-1]), c, np.int64))
+                        sizes.append(np.full(len(keys[-1]), min(len(s), MOST_SIZE), np.int32))
                         held += len(keys[-1])
                 if held > HELD:
                     yield from flush()
@@ -420,8 +433,8 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         return arrow_batches(rows(), columns)
 
-    base = land(keyed(docs).mapInArrow(signed, "doc_id bigint, mark bigint, n bigint, cls bigint, map binary, part int, keys binary, nodes binary"), "sets")
-    groups = meet(base.where("part is not null").select(*PACKED), count)
+    base = land(keyed(docs).mapInArrow(signed, "doc_id bigint, mark bigint, n bigint, cls bigint, map binary, part int, keys binary, nodes binary, sizes binary"), "sets")
+    groups = meet(base.where("part is not null").select(*PACKED), count, num, den)
     every = base.where("part is null")
     rows = land(every.select("doc_id", "n", "cls"), "rows")
     nodes = small(land(groups.select(F.col("node").alias("cls")).distinct(), "nodes"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, land, partitions, small
+from .common import arrow_batches, components, land, parts_for, scratch, small, tidy
 from .jaccard_join import PACKED, in_chunks, link_blocks, meet, pack
 from .suffix_dedup import sliding_least
 from .textvec import LOWER, U, mix, parts, window_hashes, word_hashes, words
@@ -18,6 +18,10 @@ WIDTH, NUM, DEN = 5, 4, 5
 RADIUS = 6
 #: Words that a paragraph, and a run of repeated paragraphs, must have.
 LEAST_WORDS, LEAST_RUN = 7, 16
+#: MinHash values that make a band's key.
+ROWS = 2
+#: MinHash keys that a task packs before it sends them on.
+HELD = 1_500_000
 
 
 def bands(similarity: float, recall: float = 0.99, rows: int = 1) -> int:
@@ -94,52 +98,74 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
     Words are lower-cased for A to Z. Null, empty and short texts have no paragraphs. mark is xxhash64(text), which tells
     rows with one doc_id apart; rows equal in both are one.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_passages(docs, recall, least_run, across), "passages")
+
+
+def _passages(docs: DataFrame, recall: float, least_run: int, across: bool) -> DataFrame:
     spark = docs.sparkSession
-    count, many = partitions(spark) * 4, bands(NUM / DEN, recall)
+    count, many = parts_for(docs), bands(NUM / DEN, recall, ROWS)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
-    seeds = mix(np.arange(1, many + 1, dtype=U))
+    seeds = mix(np.arange(1, many * ROWS + 1, dtype=U))
 
-    def cut(batches):
-        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "i": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "words": pa.int32(), "cls": pa.int64(), **PACKED}
-        keys, nodes, held = [], [], 0
+    def compared(data, offsets):
+        text, a, b, start, end, h = paragraphs(data, offsets)
+        ok = b - a >= LEAST_WORDS
+        return text[ok], a[ok], b[ok], start, end, h
 
-        def flush():
-            for x in pack(np.concatenate(keys), np.concatenate(nodes), count):
-                yield {**{k: [None] * len(x["part"]) for k in columns}, **x}
-            keys.clear()
-            nodes.clear()
+    def cut(batches):
+        columns = {"doc_id": pa.int64(), "mark": pa.int64(), "i": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "words": pa.int32(), "cls": pa.int64()}
 
         def rows():
-            nonlocal held
             for x in batches:
                 for at, n, data, offsets in parts(x.column(1), 500_000):
-                    text, a, b, start, end, h = paragraphs(data, offsets)
-                    ok = b - a >= LEAST_WORDS
-                    text, a, b = text[ok], a[ok], b[ok]
+                    text, a, b, start, end, h = compared(data, offsets)
                     i = np.arange(len(a)) - np.searchsorted(text, text)
-                    grams, bounds = shingled(h, a, b)
-                    cls, low = classes(grams, bounds, seeds)
+                    cls, _ = classes(*shingled(h, a, b))
                     take, base = pa.array(text), offsets[:-1][text]
-                    none = [None] * len(a)
                     yield {
                         "doc_id": x.column(0).slice(at, n).take(take), "mark": x.column(2).slice(at, n).take(take), "i": i.astype(np.int32), "lo": (start[a] - base).astype(np.int32),
-                        "hi": (end[b - 1] - base).astype(np.int32), "words": (b - a).astype(np.int32), "cls": cls, **{k: none for k in PACKED},
+                        "hi": (end[b - 1] - base).astype(np.int32), "words": (b - a).astype(np.int32), "cls": cls,
                     }
-                    one = np.unique(cls, return_index=True)[1]
-                    keys.append(low[:, one].ravel())
-                    nodes.append(np.tile(cls[one], len(seeds)))
-                    held += len(one) * len(seeds)
-                if held > 3_000_000:
+
+        return arrow_batches(rows(), columns)
+
+    def signed(batches):
+        """Packed keys of the bands of distinct sets: what the minima of a band's ROWS hash functions give together."""
+        keys, nodes, held = [], [], 0
+
+        def flush():
+            yield from pack(np.concatenate(keys), np.concatenate(nodes), count)
+            keys.clear()
+            nodes.clear()
+
+        def rows():
+            nonlocal held
+            for x in batches:
+                for _, _, data, offsets in parts(x.column(0), 500_000):
+                    _, a, b, _, _, h = compared(data, offsets)
+                    cls, low = classes(*shingled(h, a, b), seeds)
+                    cls, one = np.unique(cls, return_index=True)
+                    if not len(cls):
+                        continue
+                    low = low[:, one].reshape(many, ROWS, -1)
+                    key = np.broadcast_to(np.arange(many, dtype=U)[:, None], (many, len(cls)))
+                    for k in range(ROWS):
+                        key = mix(key * U(0x9E3779B97F4A7C15) + low[:, k])
+                    keys.append(key.ravel())
+                    nodes.append(np.tile(cls, many))
+                    held += key.size
+                if held > HELD:
                     yield from flush()
                     held = 0
             if keys:
                 yield from flush()
 
-        return arrow_batches(rows(), columns)
+        return arrow_batches(rows(), PACKED)
 
-    base = land(docs.mapInArrow(cut, "doc_id bigint, mark bigint, i int, lo int, hi int, words int, cls bigint, part int, keys binary, nodes binary"), "paragraphs")
-    found = base.where("part is null").drop(*PACKED)
-    groups = meet(base.where("part is not null").select(*PACKED), count)
+    found = land(docs.mapInArrow(cut, "doc_id bigint, mark bigint, i int, lo int, hi int, words int, cls bigint"), "paragraphs")
+    groups = meet(docs.select("text").mapInArrow(signed, "part int, keys binary, nodes binary, sizes binary"), count)
+    tidy(spark)
     nodes = small(land(groups.select(F.col("node").alias("cls"), F.lit(True).alias("met")).distinct(), "nodes"))
     each = found.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi", "words", "i")).alias("one"), F.max("doc_id").alias("last"))
     each = land(each.join(nodes, "cls", "left").where("n > 1 or met"), "classes")
@@ -175,8 +201,8 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.99, least_run: int =
     return runs.select("doc_id", "mark", F.explode(joined).alias("r")).where(F.col("r.words") >= least_run).select("doc_id", "mark", "r.lo", "r.hi", "r.words", "r.cluster", "r.removed")
 
 
-def classes(grams: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each shingle set (the same for equal sets) and its MinHash keys, a row for each band."""
+def classes(grams: np.ndarray, bounds: np.ndarray, seeds=()) -> tuple[np.ndarray, np.ndarray | None]:
+    """Class of each shingle set (the same for equal sets) and its MinHash values, a row for each seed."""
     n = len(bounds) - 1
     if not n:
         return np.zeros(0, np.int64), np.zeros((len(seeds), 0), U)
@@ -188,7 +214,7 @@ def classes(grams: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> tuple[n
     g, o = g[new], o[new]
     at = np.searchsorted(o, np.arange(n))
     total = np.add.reduceat(mix(g), at) * U(2) + np.diff(np.append(at, len(g))).astype(U)
-    low = np.stack([mix(np.minimum.reduceat(mix(g ^ s), at) ^ s) for s in seeds])
+    low = np.stack([mix(np.minimum.reduceat(mix(g ^ s), at) ^ s) for s in seeds]) if len(seeds) else None
     return total.view(np.int64), low
 
 
