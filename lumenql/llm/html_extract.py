@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,8 @@ BESIDE_WORD = frozenset(
     "index archive category tag tags latest popular more next prev previous follow counter count toggle drop down dropdown mega sub lang language ui app web wp module component view sponsoring external".split()
 )
 #: Elements that an article has or is.
-MARKS = frozenset("article main".split())
+MARKS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that end an open p, and what each kind of item ends.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -88,6 +90,15 @@ def parse(page: str) -> Node:
     root = Node("#root", None, False)
     at, now, n = 0, root, len(page)
     low = None
+    opened: Counter = Counter()  # open elements by name, so that a search for one that is not open ends at once
+
+    def close(to: Node) -> Node:
+        x = now
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.up
+        return to
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -116,28 +127,29 @@ def parse(page: str) -> Node:
             continue
         tag = m[4].lower()
         if m[3]:
-            x = now
-            while x is not root and x.tag != tag:
-                x = x.up
-            if x is not root:
-                now = x.up
+            if opened[tag]:
+                x = now
+                while x.tag != tag:
+                    x = x.up
+                now = close(x.up)
             elif tag == "p":
                 now.kids.append(Node("p", now, False))
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             x = now
             while x is not root and (x.tag in INLINE or x.tag == "p"):
                 if x.tag == "p":
-                    now = x.up
+                    now = close(x.up)
                     break
                 x = x.up
-        if tag in ENDS_SAME:
+        if tag in ENDS_SAME and any(opened[t] for t in ENDS_SAME[tag][0]):
             ends, within = ENDS_SAME[tag]
-            x = now
+            x = to = now
             while x is not root and x.tag not in within:
                 if x.tag in ends:
-                    now = x.up
+                    to = x.up
                 x = x.up
+            now = close(to)
         why = boiler(tag, m[5])
         node = Node(tag, now, bool(why))
         node.named = why == "named"
@@ -153,6 +165,7 @@ def parse(page: str) -> Node:
             at = n if gt < 0 else gt + 1
         elif tag not in VOID and not m[5].endswith("/"):
             now = node
+            opened[tag] += 1
     return root
 
 
@@ -183,27 +196,6 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def spare(root: Node) -> None:
-    """Takes back the skip of elements named as boiler that hold most of the page's unlinked text.
-
-    Only if no article or main stands outside of them, nor an h1 if they have none: long comments beside an article stay out.
-    """
-    order, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [k for k in x.kids if isinstance(k, Node) and (not k.skip or k.named)]
-    if not any(x.named for x in order):
-        return
-    for x in reversed(order):
-        x.plain = 0 if x.tag == "a" else sum(visible(k) if isinstance(k, str) else k.plain for k in x.kids if isinstance(k, str) or not k.skip or k.named)
-    for x in order:  # parents first
-        if x.named and 2 * x.plain > root.plain:
-            seen = {y.tag for y in measure(root)}
-            if MARKS.isdisjoint(seen) and ("h1" not in seen or any(y.tag == "h1" and under(y, x) for y in order)):
-                x.skip = False
-
-
 def densities(root: Node) -> list[Node]:
     """Sets the composite density of each node and the sum over its children.
 
@@ -226,36 +218,50 @@ def densities(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> Node | None:
-    """The subtree with the article.
+def main_nodes(root: Node) -> list[Node | str]:
+    """What makes the article, in page order: subtrees, and texts that stand directly in a node above them.
 
     From the node with the largest density sum, the path to the body is followed; the smallest density on it is the
-    threshold of the page. Of the subtrees at or above the threshold, that with the largest density sum is taken. Its
-    border is then set by the page's own marks: an article (or main) element around it, or inside it one with most of
-    its text; without such, it is widened while its parent adds text with few links.
+    threshold of the page. If an article (or main) element stands around that node, or inside it with most of its text,
+    it is the article. Otherwise the node's subtree is, with all that hangs on the path and has at least the threshold
+    density and less links than text, and with headings that stand right before such.
     """
     order = densities(root)
     if not root.chars:
-        return None
+        return []
     best = max(order, key=lambda x: x.total)
-    x, threshold = best, best.density
-    while x is not None and x.tag not in ("body", "html", "#root"):
-        threshold = min(threshold, x.density)
-        x = x.up
-    best = max((x for x in order if x.density >= threshold), key=lambda x: x.total, default=best)
-    for tag in ("article", "main"):
+    while best.up is not None and best.tag in INLINE:
+        best = best.up
+    for tag in MARKS:
         x = best
         while x is not None and x.tag != tag:
             x = x.up
         if x is not None:
-            return x
-    for tag in ("article", "main"):
+            return [x]
+    for tag in MARKS:
         inside = [x for x in order if x.tag == tag and under(x, best)]
         if inside and 2 * (x := max(inside, key=lambda x: x.chars - x.links)).chars > best.chars:
-            return x
-    while best.up is not None and best.tag != "body" and (best.tag in INLINE or best.up.chars - best.up.links >= 1.15 * (best.chars - best.links) and best.up.links <= 0.3 * best.up.chars):
-        best = best.up
-    return best
+            return [x]
+    path = [best]
+    while path[-1].up is not None and path[-1].tag != "body":
+        path.append(path[-1].up)
+    threshold = min(x.density for x in path)
+    found: list[Node | str] = [best]
+    if best.tag in ("body", "html", "#root"):  # the page itself: all of it but what is mostly links
+        found = [k for k in best.kids if isinstance(k, str) or k.skip or k.density >= threshold or 2 * k.links < k.chars]
+    for below, above in zip(path, path[1:], strict=False):
+        at = next(i for i, k in enumerate(above.kids) if k is below)
+        enough = lambda k: visible(k) >= max(threshold, 1) if isinstance(k, str) else not k.skip and k.chars > 0 and k.density >= threshold and 2 * k.links < k.chars  # noqa: B023, E731
+        before, after = [], [k for k in above.kids[at + 1 :] if enough(k)]
+        follows = True  # whether what stands behind is taken
+        for k in reversed(above.kids[:at]):
+            if isinstance(k, str) and not visible(k):
+                continue
+            follows = enough(k) or follows and isinstance(k, Node) and not k.skip and k.tag in HEADINGS and 2 * k.links < k.chars
+            if follows:
+                before.append(k)
+        found = [*reversed(before), *found, *after]
+    return found
 
 
 def under(x: Node, top: Node) -> bool:
@@ -264,8 +270,36 @@ def under(x: Node, top: Node) -> bool:
     return x is top
 
 
-def blocks(top: Node) -> list[str]:
-    """Texts of the blocks below a node in page order, references decoded, white space inside a block as one space."""
+def spare(root: Node) -> None:
+    """Takes back the skip of elements named as boiler that density puts around the article, or that hold most of the page's unlinked text.
+
+    The first are those above the subtree that has the largest density sum when they are all taken in. Only if no article
+    or main stands outside of them, nor an h1 if they have none: long comments beside an article stay out.
+    """
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [k for k in x.kids if isinstance(k, Node) and (not k.skip or k.named)]
+    named = [x for x in order if x.named]
+    if not named:
+        return
+    for x in named:
+        x.skip = False
+    best = max(densities(root), key=lambda x: x.total)
+    for x in named:
+        x.skip = True
+    for x in reversed(order):
+        x.plain = 0 if x.tag == "a" else sum(visible(k) if isinstance(k, str) else k.plain for k in x.kids if isinstance(k, str) or not k.skip or k.named)
+    for x in named:  # parents first
+        if 2 * x.plain > root.plain or under(best, x):
+            seen = {y.tag for y in measure(root)}
+            if seen.isdisjoint(MARKS) and ("h1" not in seen or any(y.tag == "h1" and under(y, x) for y in order)):
+                x.skip = False
+
+
+def blocks(tops: list[Node | str]) -> list[str]:
+    """Texts of the blocks of nodes and texts in page order, references decoded, white space inside a block as one space."""
     out, now = [], []
 
     def end():
@@ -275,14 +309,14 @@ def blocks(top: Node) -> list[str]:
                 out.append(text)
             now.clear()
 
-    todo = [top]
+    todo = [*reversed(tops)]
     while todo:
         x = todo.pop()
         if x is None:
             end()
         elif isinstance(x, str):
             now.append(x)
-        elif x.skip and x is not top:
+        elif x.skip:
             if x.tag not in INLINE:
                 end()
         elif x.tag in INLINE:
@@ -301,15 +335,14 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     spare(root)
-    top = main_node(root)
-    return " ".join(blocks(top)) if top is not None else ""
+    return " ".join(blocks(main_nodes(root)))
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages with text and n_chars (its code points) for html; whole pages, row by row, no shuffle.
 
-    Null html counts as empty and gives an empty text, as do pages without text. Columns named text or n_chars are
-    replaced.
+    Null html counts as empty and gives an empty text, as do pages without text; an empty table gives no rows, and
+    repeated rows are extracted each for itself. Columns named text or n_chars are replaced, all others stay.
     """
     keep = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
     d = pages.select(*keep, html_column)
