@@ -37,25 +37,19 @@ def canonical_text(text: str) -> str:
     return text
 
 
-def canonical(text: Column, most: int | None = None) -> Column:
-    """Lower case without comment signs, copyright lines, titles and punctuation, equivalent spellings made one.
+def canonical(text: Column) -> Column:
+    """Lower case without comment signs, copyright lines, titles and punctuation, equivalent spellings made one, for texts of any length.
 
-    Texts of more than most characters (longest() if None) keep their spellings, as in the SQL counterpart.
+    One pattern first tells whether a text has any of the spellings; the steps that make them one leave all others as they are.
     """
     c = F.lower(text)
     for pattern, to in STEPS:
         c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
     c = F.regexp_replace(c, F.lit(HEAD), F.lit(""))
-    maybe = F.length(c) <= (longest() if most is None else most)
     rest = c
     for pattern, to in _same():
         rest = F.regexp_replace(rest, F.lit(pattern), F.lit(to.replace(r"\1", "$1")))
-    return F.when(maybe, rest).otherwise(c)
-
-
-def longest(texts: dict[str, str] = LICENCES) -> int:
-    """Longer canonical texts cannot equal one of LICENCES or texts, so their spellings are left as they are."""
-    return 2 * max(len(canonical_text(t)) for t in [*LICENCES.values(), *texts.values()])
+    return F.when(c.rlike(r"\b(?:" + "|".join(p.removeprefix(r"\b") for p, _ in _same()) + ")"), rest).otherwise(c)
 
 
 def known(spark, texts: dict[str, str] = LICENCES) -> DataFrame:
@@ -70,10 +64,12 @@ def known(spark, texts: dict[str, str] = LICENCES) -> DataFrame:
 def licence_scan(docs: DataFrame, texts: dict[str, str] = LICENCES) -> DataFrame:
     """(doc_id, digest, licence) of all docs (doc_id, text): licence names the known text that a whole document is.
 
-    digest is the SHA-256 of the canonical text, in which documents of over longest(texts) characters keep their spellings. licence is null for other documents, as for null and empty texts, whose digest
-    is that of no text. Rows are treated one by one; the known digests, a table of fixed size, are broadcast once counted.
+    digest is the SHA-256 of the canonical text, whatever its length. licence is null for other documents, as for null and
+    empty texts, whose digest is that of no text. Rows are treated one by one, repeated rows each for itself, and an empty
+    table gives no rows; only doc_id and text are read, so other columns may have any names. The known digests, a table of
+    fixed size, are broadcast once counted.
     """
-    d = docs.select("doc_id", F.sha2(F.coalesce(canonical(F.col("text"), longest(texts)), F.lit("")), 256).alias("digest"))
+    d = docs.select("doc_id", F.sha2(F.coalesce(canonical(F.col("text")), F.lit("")), 256).alias("digest"))
     return d.join(small(known(docs.sparkSession, texts)), "digest", "left").select("doc_id", "digest", "licence")
 
 
@@ -92,7 +88,7 @@ def _sql() -> str:
     for pattern, to in _same():
         same = f"regexp_replace({same}, {q(pattern)}, {q(to)}, 'g')"
     values = ", ".join(f"({q(canonical_text(t))}, {q(n)})" for n, t in sorted(LICENCES.items()))
-    return f"""with a as (select doc_id, {c} as c from documents), b as (select doc_id, case when length(c) <= {longest()} then {same} else c end as c from a),
+    return f"""with a as (select doc_id, {c} as c from documents), b as (select doc_id, {same} as c from a),
 known(t, licence) as (values {values}), k as (select sha256(t) as digest, min(licence) as licence from known group by 1)
 select doc_id, sha256(coalesce(c, '')) as digest, licence from b left join k on k.digest = sha256(coalesce(b.c, ''))"""
 
