@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def classes(vectors: DataFrame, key: str, column: str) -> DataFrame:
                 for i, v in zip(x.column(0).to_pylist(), x.column(1), strict=True):
                     v = v.values if v.is_valid else None
                     a = np.asarray(v.to_numpy(zero_copy_only=False), np.float64) + 0.0 if v is not None and not v.null_count and len(v) else None
-                    if a is not None and np.isfinite(a).all() and a.any() and np.isfinite(a @ a) and a @ a > 0:
+                    if a is not None and np.isfinite(a).all() and a.any():
                         data = a.tobytes()
                         out["cls"].append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
                         out["dim"].append(len(a))
@@ -49,7 +50,7 @@ def classes(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 def bases(ones: DataFrame) -> dict[int, np.ndarray]:
     """For each dimension count the principal axes of all unit vectors, largest variance first; summed on the executors."""
-    columns = {"dim": pa.int32(), "data": pa.binary()}
+    columns = {"dim": pa.int32(), "i": pa.int32(), "row": pa.list_(pa.float64())}
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -58,21 +59,23 @@ def bases(ones: DataFrame) -> dict[int, np.ndarray]:
             for d in np.unique(dims):
                 a = units(np.frombuffer(b"".join(x.column(1).filter(pa.array(dims == d)).to_pylist()), np.float64).reshape(-1, d))
                 sums[int(d)] = sums.get(int(d), 0) + a.T @ a
-        return arrow_batches([{"dim": list(sums), "data": [v.tobytes() for v in sums.values()]}], columns)
+        return arrow_batches(({"dim": [d] * d, "i": range(d), "row": list(v)} for d, v in sums.items()), columns)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py(), np.float64) for v in table.column(1))
-        return pa.table({"dim": table.column(0).slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    found = ones.select("dim", "data").mapInArrow(run, "dim int, data binary").groupBy("dim").applyInArrow(add, "dim int, data binary").collect()
+    cells = ones.select("dim", "data").mapInArrow(run, "dim int, i int, row array<double>").select("dim", "i", F.posexplode("row").alias("j", "x"))
+    found = cells.groupBy("dim", "i", "j").agg(F.sum("x").alias("x")).toArrow()
     out = {}
-    for r in found:
-        _, axes = np.linalg.eigh(np.frombuffer(r["data"], np.float64).reshape(r["dim"], r["dim"]))
-        out[r["dim"]] = np.ascontiguousarray(axes[:, ::-1])
+    for d in np.unique(found.column("dim").to_numpy()):
+        t = found.filter(pc.equal(found.column("dim"), pa.scalar(int(d), pa.int32())))
+        gram = np.zeros((d, d))
+        gram[t.column("i").to_numpy(), t.column("j").to_numpy()] = t.column("x").to_numpy()
+        _, axes = np.linalg.eigh((gram + gram.T) / 2)
+        out[int(d)] = np.ascontiguousarray(axes[:, ::-1])
     return out
 
 
 def units(a: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is brought to 1 first, so that no square over- or underflows."""
+    a = a / np.abs(a).max(1)[:, None]
     return a / np.sqrt(np.einsum("ij,ij->i", a, a))[:, None]
 
 
@@ -87,7 +90,7 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same:
     ua, ub = units(a), units(b)
     pa_, pb = ua @ axes, ub @ axes
     d = a.shape[1]
-    steps = list(range(min(LEADING, d), d, LEADING))
+    steps = list(range(LEADING, d, LEADING))  # none if the first LEADING dimensions are all
     tail = lambda p, k: np.sqrt(np.maximum((p[:, k:] ** 2).sum(1), 0))
     ta, tb = {k: tail(pa_, k) for k in steps}, {k: tail(pb, k) for k in steps}
     for at in range(0, len(a), ROWS):
@@ -109,7 +112,7 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same:
         i, j = np.nonzero(alive)
         value = got[i, j]
         i = rows[i]
-        for k, end in zip(steps, [*steps[1:], d], strict=True):
+        for k, end in zip(steps, [*steps[1:], d], strict=False):
             value = value + np.einsum("ij,ij->i", pa_[i, k:end], pb[j, k:end])
             rest = ta[end][i] * tb[end][j] if end < d else 0.0
             ok = value + rest >= least - SLACK
@@ -124,6 +127,7 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same:
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = x / np.abs(x).max(), y / np.abs(y).max()
     return math.fsum(x * y) / (math.sqrt(math.fsum(x * x)) * math.sqrt(math.fsum(y * y)))
 
 
@@ -172,7 +176,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", c
     """(key, n_links, component_id, kept) of all rows: links are pairs of rows with cosine >= least, in double precision.
 
     Rows whose vector is null, empty, zero or has null or non-finite components link with nothing, nor do vectors of
-    different length with each other. Equal vectors are compared once and counted by their number. Vectors are ordered
+    different length with each other. Rows with one key are rows of their own, an empty table gives none, and only the
+    two columns named are read. Equal vectors are compared once and counted by their number. Vectors are ordered
     by their first principal coordinate and cut into tiles; unit vectors with cosine >= least differ by at most
     sqrt(2 - 2 least) in any coordinate, so only tiles within that distance meet, each pair of tiles in a task of its
     own with two tiles in memory. Exact; with random vectors work grows with the square of distinct vectors.
@@ -187,8 +192,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", c
     def placed(batches):
         def made():
             for x in batches:
-                v = [np.frombuffer(d, np.float64) for d in x.column(3).to_pylist()]
-                yield {"cls": x.column(0), "dim": x.column(1), "many": x.column(2), "data": x.column(3), "x": [float(a @ found[len(a)][:, 0]) / math.sqrt(a @ a) for a in v]}
+                v = [units(np.frombuffer(d, np.float64)[None])[0] for d in x.column(3).to_pylist()]
+                yield {"cls": x.column(0), "dim": x.column(1), "many": x.column(2), "data": x.column(3), "x": [float(a @ found[len(a)][:, 0]) for a in v]}
 
         return arrow_batches(made(), columns)
 
@@ -224,7 +229,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", c
     tiles = land(tiles, "tiles")
     # a tile i lies between cuts i - 1 and i; its partners j >= i begin at most `reach` behind its end
     last = {dim: [int(np.searchsorted(c, (c[i] if i < len(c) else np.inf) + reach, "right")) for i in range(len(c) + 1)] for dim, c in cuts.items()}
-    spans_ = [(dim, i, min(k for k in range(len(ends)) if ends[k] >= i), ends[i]) for dim, ends in last.items() for i in range(len(ends))]
+    spans_ = [(dim, i, int(np.searchsorted(ends, i)), ends[i]) for dim, ends in last.items() for i in range(len(ends))]
     reach_of = spark.createDataFrame(spans_ or [(0, 0, 0, 0)], "dim int, tile int, low int, high int")
     ends = tiles.join(small(reach_of), ["dim", "tile"]).select("dim", "ids", "many", "data", F.explode(F.concat(
         F.transform(F.sequence("tile", "high"), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
