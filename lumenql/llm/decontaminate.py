@@ -128,14 +128,14 @@ COLUMNS = {"id": pa.int64(), "row": pa.int64(), "pos": pa.int64(), "window": pa.
 SCHEMA = "id bigint, row bigint, pos bigint, window bigint, size bigint, n bigint, slots array<string>, raw boolean"
 
 
-def windows_of(texts: DataFrame, width: int, wanted: np.ndarray | None, sizes: list[int] | None = None) -> DataFrame:
-    """texts: (id bigint, row bigint, text) -> windows; row is passed through."""
+def windows_of(texts: DataFrame, width: int, wanted=None, sizes: list[int] | None = None) -> DataFrame:
+    """texts: (id bigint, row bigint, text) -> windows; row is passed through. wanted: a broadcast sorted array, or None."""
 
     def run(batches):
         def rows():
-            test = among(wanted)
+            test = among(wanted.value if wanted is not None else None)
             for x in batches:
-                for at, n, data, offsets in parts(x.column(2)):
+                for at, n, data, offsets in parts(x.column(2), 500_000):
                     found = template_windows(x.column(0).slice(at, n), data, offsets, test, width, sizes)
                     yield found | {"row": x.column(1).slice(at, n).take(pa.array(found["row"]))}
 
@@ -154,14 +154,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run:
     runs together `share` of the item's; words is how many of the item's are covered, exact tells whether all slots have the item's
     own values. mark is xxhash64(text), which tells rows with one doc_id apart. Items with less than LITERAL literal words
     match word for word only, be it one word; null or empty texts match nothing; repeated rows match each for themselves but give one row.
+    Texts count whole, whatever their length; empty tables on either side give no rows; only the columns named are read.
 
     The benchmark's window hashes go to the executors if there are at most FILTER_WINDOWS, so only hits are shuffled.
     """
-    items = land(windows_of(benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("row"), "text"), width, None), "items")
+    items = land(windows_of(benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("row"), "text"), width), "items")
     few = items.select("window").distinct()
     wanted = None
     if few.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
-        wanted = np.sort(np.array([r[0] for r in few.collect()], np.int64).view(U))
+        wanted = np.sort(few.toArrow().column("window").to_numpy().astype(np.int64).view(U))
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     hits = land(windows_of(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("row"), "text"), width, wanted, sizes or [width]), "hits")
     i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("at"), "window", "size", F.col("n").alias("item_words"), F.col("slots").alias("own"), "raw")

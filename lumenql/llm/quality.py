@@ -290,7 +290,11 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted); rows without a doc_id count as held out."""
+    """(doc_id, held_out, score, predicted); rows without a doc_id count as held out.
+
+    Each row is scored by its own whole text, repeated rows alike, null as empty; an empty table gives no rows. Only doc_id and text
+    are read, so other columns may have any names.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     return stats.select("doc_id", held.alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
@@ -298,7 +302,8 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns kept, without those that a model fitted on labels rejects (score below 0.3).
 
-    Rows are told by (doc_id, text), so rows that share a doc_id are each judged by their own text.
+    Rows are told by (doc_id, text), so rows that share a doc_id are each judged by their own text and repeated rows stay or
+    go together. Without labels all score alike and stay; an empty table gives no rows.
     """
     d = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
     stats = land(with_statistics(d.select("doc_id", "text", "__rid"), "__rid"), "stats")
