@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, land, partitions, release, scratch, tidy
+from .common import arrow_batches, by_part, land, partitions, release, scratch, tidy
 from .textvec import U, mix, parts, powers, prefix, spans
 
 #: Bytes of the substrings whose least hash picks a window's anchor.
@@ -153,6 +154,21 @@ def repeated_windows(contexts: list[bytes], least: int) -> list[list[tuple[int,
     return out
 
 
+def sharing(group: list[tuple], least: int) -> list[tuple]:
+    """The contexts (.., bytes, before) of one anchor, which stands behind `before` bytes of its context, that may have a window in common.
+
+    Equal windows agree on half of what they have beside the anchor at least, so on that many bytes right before the anchor
+    or right after it. Without before all are kept.
+    """
+    if group[0][5] is None:
+        return group
+    k = min(ANCHOR, least)
+    half = (least - k + 1) // 2
+    sides = [(h[4][h[5] - half : h[5]] if h[5] >= half else None, h[4][h[5] + k : h[5] + k + half] if len(h[4]) >= h[5] + k + half else None) for h in group]
+    left, right = (Counter(s[i] for s in sides if s[i] is not None) for i in (0, 1))
+    return [h for h, (x, y) in zip(group, sides, strict=True) if left[x] > 1 or right[y] > 1]
+
+
 def merged(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Ranges that strings of `least` bytes at sorted starts cover."""
     if not len(starts):
@@ -214,20 +230,19 @@ def repeated_ranges(docs: DataFrame, least: int = 200) -> DataFrame:
 
         def rows():
             held, size = [], 0
-            for x in batches:
-                for h in zip(*[c.to_pylist() for c in x.columns], strict=True):
-                    if held and size > 1_500_000 and h[0] != held[-1][0]:
-                        yield done(held)
-                        held, size = [], 0
-                    held.append(h)
-                    size += len(h[4])
+            for group in by_part(batches):
+                held += (group := sharing(group, least))
+                size += sum(len(h[4]) for h in group)
+                if size > 1_500_000:
+                    yield done(held)
+                    held, size = [], 0
             if held:
                 yield done(held)
 
         return arrow_batches(rows(), columns)
 
     ranges = "rid bigint, lo int, hi int"
-    dealt = cut.where(F.col("m") <= MOST_CONTEXTS).select("key", "rid", "n", "lo", "bytes").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    dealt = cut.where(F.col("m") <= MOST_CONTEXTS).select("key", "rid", "n", "lo", "bytes", (F.col("at") - F.col("lo")).alias("before")).repartition(partitions(spark), "key").sortWithinPartitions("key")
     expanded = dealt.mapInArrow(expand, ranges)
 
     hot = cut.where(F.col("m") > MOST_CONTEXTS).drop("m")
@@ -277,7 +292,7 @@ def _hot_ranges(hot: DataFrame, least: int, expand) -> DataFrame:
         if size == 1:
             found.append(both.where("n = 1").select("rid", "lo", "hi"))
             break
-        found.append(expand(both.where(F.col("m") <= MOST_CONTEXTS).select(F.col("grp").alias("key"), "rid", "n", "lo", "bytes")))
+        found.append(expand(both.where(F.col("m") <= MOST_CONTEXTS).select(F.col("grp").alias("key"), "rid", "n", "lo", "bytes", F.lit(None).cast("int").alias("before"))))
         if not groups.where(F.col("m") > MOST_CONTEXTS).limit(1).count():
             break
         size //= 2
