@@ -21,7 +21,9 @@ FILTER_BITS, PROBES, FILTER_ENTRIES, LEAST_LEVEL = 1 << 25, 4, 2_000_000, 2
 #: Sizes beyond this count as equal where sizes rule out links.
 MOST_SIZE = (1 << 31) - 1
 #: Tokens that a task counts, or packs keys of, before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
+#: Bytes of texts that a task hashes at a time; a longer text is taken by itself.
+TEXT_BYTES = 500_000
 
 
 class Order:
@@ -93,7 +95,7 @@ def counted(batches, width: int, count: int):
     def rows():
         nonlocal size
         for x in batches:
-            for _, _, data, offsets in parts(x.column(0)):
+            for _, _, data, offsets in parts(x.column(0), TEXT_BYTES):
                 for s in shingle_sets(LOWER[data], offsets, width):
                     if len(s) and (c := set_class(s)) not in held:
                         held[c] = s
@@ -411,7 +413,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             nonlocal held
             for x in batches:
                 ids, marks = x.column(0), x.column(2)
-                for at, n, data, offsets in parts(x.column(1)):
+                for at, n, data, offsets in parts(x.column(1), TEXT_BYTES):
                     found = list(shingle_sets(LOWER[data], offsets, width))
                     cls = [set_class(s) for s in found]
                     yield {"doc_id": ids.slice(at, n).to_pylist(), "mark": marks.slice(at, n).to_pylist(), "n": [len(s) for s in found], "cls": cls, "map": [bitmap(s).tobytes() for s in found], **{k: [None] * n for k in PACKED}}
@@ -479,7 +481,7 @@ def members_of(docs: DataFrame, blocks: DataFrame, ones: DataFrame, width: int)
         def rows():
             for x in batches:
                 want = x.column(0).to_pylist()
-                for at, n, data, offsets in parts(x.column(1)):
+                for at, n, data, offsets in parts(x.column(1), TEXT_BYTES):
                     found = list(shingle_sets(LOWER[data], offsets, width))
                     ok = [k for k in range(n) if set_class(found[k]) == want[at + k]]
                     places = [x.column(2)[at + k].as_py() for k in ok]
