@@ -166,12 +166,13 @@ def _passages(docs: DataFrame, recall: float, least_run: int, across: bool) -> D
     found = land(docs.mapInArrow(cut, "doc_id bigint, mark bigint, i int, lo int, hi int, words int, cls bigint"), "paragraphs")
     groups = meet(docs.select("text").mapInArrow(signed, "part int, keys binary, nodes binary, sizes binary"), count)
     tidy(spark)
-    nodes = small(land(groups.select(F.col("node").alias("cls"), F.lit(True).alias("met")).distinct(), "nodes"))
+    # these joins are plain ones, which adaptive execution turns into broadcasts or splits as it sees fit, so they work alike at every size
+    nodes = groups.select(F.col("node").alias("cls"), F.lit(True).alias("met")).distinct()
     each = found.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "hi", "words", "i")).alias("one"), F.max("doc_id").alias("last"))
     each = land(each.join(nodes, "cls", "left").where("n > 1 or met"), "classes")
     ones = in_chunks(groups.select(F.col("node").alias("cls"), F.col("grp").alias("block")).join(each.where("met"), "cls").select("cls", "block", "one.doc_id", "one.mark", "one.lo", "one.hi", F.col("one.words").alias("n")))
     wanted = ones.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("cls", "block", "chunk", "chunks", "lo", "hi")).alias("runs"))
-    texts = docs.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select(F.encode(F.col("text"), "UTF-8").alias("data"), F.explode("runs").alias("r"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select(F.encode(F.col("text"), "UTF-8").alias("data"), F.explode("runs").alias("r"))
     texts = texts.select("r.cls", "r.block", "r.chunk", "r.chunks", F.substring("data", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")).alias("data"))
 
     def sets(batches):
@@ -192,7 +193,7 @@ def _passages(docs: DataFrame, recall: float, least_run: int, across: bool) -> D
     each = each.alias("e").join(small(roots).alias("r"), F.col("e.cls") == F.col("r.node"), "left").select("e.cls", "n", "one", "last", F.coalesce("root", "e.cls").alias("root"))
     clusters = each.groupBy("root").agg(F.sum("n").alias("n"), F.min(F.struct("one.doc_id", "one.mark", "one.i")).alias("top"), F.max("last").alias("last")).where((F.col("n") > 1) & (~F.col("last").eqNullSafe(F.col("top.doc_id")) | F.lit(not across)))
     each = land(each.join(small(clusters.select("root", "top")), "root").select("cls", F.col("root").alias("cluster"), "top"), "clusters")
-    hits = found.join(small(each), "cls").withColumn("removed", ~F.struct("doc_id", "mark", "i").eqNullSafe(F.struct("top.doc_id", "top.mark", "top.i")))
+    hits = found.join(each, "cls").withColumn("removed", ~F.struct("doc_id", "mark", "i").eqNullSafe(F.struct("top.doc_id", "top.mark", "top.i")))
     runs = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("i", "lo", "hi", "words", "cluster", "removed"))).alias("hits"))
     empty = "cast(array() as array<struct<i:int,lo:int,hi:int,words:bigint,cluster:bigint,removed:bigint>>)"
     one = lambda v: F.struct(v["i"].alias("i"), v["lo"].alias("lo"), v["hi"].alias("hi"), v["words"].cast("bigint").alias("words"), v["cluster"].alias("cluster"), F.when(v["removed"], v["words"]).otherwise(0).cast("bigint").alias("removed"))
