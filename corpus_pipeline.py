@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenql.llm.common import land
+from lumenql.llm.common import land, release
 from lumenql.llm.decontaminate import clean
 from lumenql.llm.jaccard_join import distinct_documents
 from lumenql.llm.mixing import mix_documents
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = land(stage(spark, docs, sf_dir), name)
+        if before is not None:  # nothing reads the rows of the stage before any more
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir).withColumn("shard", F.col("shard").cast("int"))
