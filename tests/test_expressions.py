@@ -82,3 +82,9 @@ ERRORS = [
 def test_errors(db, sql, kind):
     with pytest.raises(kind):
         db.rows(sql)
+
+
+def test_offset_of_the_instant(db):
+    """Timestamps become text with the offset that Los Angeles has at that instant: an hour less from 2024-03-10 10:00 UTC on."""
+    got = db.query("SELECT CAST(TIMESTAMP_SECONDS(1710064740) AS STRING) AS a, CAST(TIMESTAMP_SECONDS(1710064800) AS STRING) AS b").first()
+    assert (got["a"], got["b"]) == ("2024-03-10 01:59:00-08", "2024-03-10 03:00:00-07")
