@@ -33,13 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def land(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+def land(df: DataFrame, name: str = "part", options: dict | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder, with options of the writer, and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (mine := _SCRATCH.get()) is not None:
         mine.append(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +86,18 @@ def release(df: DataFrame) -> None:
     tidy(df.sparkSession)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """What is planned inside sends at most so many rows to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bytes(field: T.StructField):
     """Column of the bytes that a value of the field takes, roughly: what has no fixed width is measured."""
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):

@@ -389,6 +389,31 @@ def test_vector_dimensions(spark, monkeypatch, dim):
     assert got == {i: (int(link[i].sum()), int(root[i])) for i in range(len(v))}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_shuffled_once(spark, monkeypatch, kind):
+    """What is shuffled grows with the vectors, though nearly all pairs of tiles meet, and links are those of brute force."""
+    monkeypatch.setattr(embedding_dups, "TILE", 25)
+    monkeypatch.setattr(embedding_dups, "ROWS", 8)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(900, 24))
+    v[300:420] = v[:120] + rng.normal(size=(120, 24)) * 0.2
+    v[420:700] = v[rng.integers(0, 300, 280)]
+    v = v.astype(np.float32).astype(float) if kind == "float" else v
+    spark.createDataFrame(list(enumerate(v.tolist())), f"vec_id bigint, embedding array<{kind}>").createOrReplaceTempView("vectors_once")
+    unit = v / np.sqrt((v**2).sum(1))[:, None]
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = np.arange(len(v))
+    for _ in range(50):
+        root = np.minimum(root, np.where(link, root[None, :], len(v)).min(1))
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    d = spark.table("vectors_once")
+    before = shuffled()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dups.near_vectors(d, 0.95).collect()}
+    assert got == {i: (int(link[i].sum()), int(root[i])) for i in range(len(v))}
+    assert shuffled() - before < 6 * v.nbytes
+
+
 def test_jaccard_of_long_sets(spark):
     """Links at 0.8 of sets of 500 to 5000 shingles, with passages that many share and copies near the threshold."""
     rng = random.Random(9)
