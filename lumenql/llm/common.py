@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 24_000_000
 #: Bytes of text whose tokens one part of a packed shuffle holds; the number of parts grows with the texts.
 PART_BYTES = 32_000_000
+#: Rows, and bytes, of texts or packed sets that Spark and Python hold of a batch at a time, each in several copies.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 #: Paths that the innermost scratch() has landed.
 _SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
@@ -87,15 +89,17 @@ def release(df: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """What is planned inside sends at most so many rows to Python at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int, size: int | None = None):
+    """What is planned inside sends at most so many rows, and about so many bytes if given, to Python at a time."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _bytes(field: T.StructField):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_batches, by_part, components, land, partitions, parts_for, release, scratch, small, tidy
+from .common import BATCH_BYTES, BATCH_ROWS, Forest, arrow_batches, by_part, components, land, partitions, parts_for, release, scratch, small, small_batches, tidy
 from .textvec import LOWER, U, mix, parts, shingle_sets
 
 #: Sets, and shingles, that a block's chunk holds on average; larger blocks are split.
@@ -387,7 +387,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     groups that still hold several components, trees of bitmaps alone find the sets in pairs across components that the
     bound allows, and only these are joined with their sets.
     """
-    with scratch(docs.sparkSession) as keep:
+    with scratch(docs.sparkSession) as keep, small_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
         return keep(_classes(docs, width, num, den), "classes")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, land, small
+from .common import BATCH_BYTES, BATCH_ROWS, arrow_batches, land, small, small_batches
 from .textvec import LOWER, U, mix, parts, prefix, spans, window_hashes, words
 
 #: Most labelled rows that a model is fitted on, those with the least hash of doc_id.
@@ -306,7 +306,8 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     go together. Without labels all score alike and stay; an empty table gives no rows.
     """
     d = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    stats = land(with_statistics(d.select("doc_id", "text", "__rid"), "__rid"), "stats")
+    with small_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        stats = land(with_statistics(d.select("doc_id", "text", "__rid"), "__rid"), "stats")
     known = d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__rid").alias("__key")).join(F.broadcast(sampled(labels)), "doc_id")
     model = train_rows(stats.join(small(known.select("__key", "__y")), F.col("doc_id") == F.col("__key")))
     bad = stats.select(F.col("doc_id").alias("__bad"), model.score().alias("__score")).where("__score < 0.3").select("__bad").distinct()

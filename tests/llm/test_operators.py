@@ -414,6 +414,23 @@ def test_vectors_are_shuffled_once(spark, monkeypatch, kind):
     assert shuffled() - before < 6 * v.nbytes
 
 
+def test_small_batches_of_texts(spark, tiny, monkeypatch):
+    """The first two stages of the pipeline send few rows and bytes to Python at a time, and leave the session as it was."""
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before, seen = [spark.conf.get(n) for n in names], {}
+    for module in (quality, jaccard_join):
+
+        def noted(df, name="part", *more, land=module.land):
+            seen[name] = [int(spark.conf.get(n).rstrip("b")) for n in names]
+            return land(df, name, *more)
+
+        monkeypatch.setattr(module, "land", noted)
+    d = corpus_pipeline.quality(spark, spark.read.parquet(f"{tiny}/documents.parquet"), tiny)
+    corpus_pipeline.near_duplicates(spark, d, tiny).count()
+    assert all(seen[n][0] <= 1000 and seen[n][1] <= 4_000_000 for n in ("stats", "frequent", "sets"))
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_jaccard_of_long_sets(spark):
     """Links at 0.8 of sets of 500 to 5000 shingles, with passages that many share and copies near the threshold."""
     rng = random.Random(9)
